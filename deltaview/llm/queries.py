@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +24,45 @@ FROM n WINDOW w AS (PARTITION BY t)
 """
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deltaview.llm.warc import archive_round_trip
+
+    back = archive_round_trip(_table(spark, sf_dir, "pages"))
+    return back.select("page_id", F.octet_length("body").cast("long").alias("payload_bytes"), F.sha1("body").alias("payload_digest"), "record_type", "refers_to")
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
+g AS (SELECT h, max(page_id) AS top FROM d GROUP BY h)
+SELECT page_id, n AS payload_bytes, h AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
+FROM d JOIN g USING (h)
+"""
+
+#: No document is read more than twice as often as another by the production mixture.
+MOST_REPETITIONS = 2.0
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deltaview.llm.mixing import Target, mix
+
+    out = mix(_table(spark, sf_dir, "documents"), Target(repetitions=MOST_REPETITIONS))
+    return out.select(*[F.col(f"_mix_{a}").alias(b) for a, b in (("id", "doc_id"), ("source", "source"), ("tokens", "n_tokens"), ("epoch", "epoch"), ("block", "block"), ("weight", "weight"))])
+
+
+QUERIES = {
+    "op1_source_mixing": op1_source_mixing,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op10_warc": op10_warc,
+}
+SQL = {"op8_exact_dedup": OP8_SQL, "op10_warc": OP10_SQL}
+
+
 def queries() -> dict:
-    return {"op8_exact_dedup": op8_exact_dedup}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {"op8_exact_dedup": OP8_SQL}
+    return dict(SQL)
