@@ -97,6 +97,7 @@ def exact_dedup(
     hit_ids = wide.join(hits, "digest").select(F.col("id").alias("hit_id")).distinct()
     texts = scratch.save(rows.join(hit_ids, F.col("id") == F.col("hit_id"), "left_semi").select("id", "t", digest(F.col("t")).alias("digest")), "texts")
     stays = texts.join(hits.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("id") == F.col("keep_id"))).groupBy("digest").agg(F.min("t").alias("keep_t"))
+    stays = scratch.save(stays, "stays")  # so that the join below can split a large group
     differ = texts.join(stays, "digest").filter(F.col("t") != F.col("keep_t")).select("id", "digest", F.unhex(F.sha2(F.col("t").cast("binary"), 256)).alias("sha"), "t")
     differ = scratch.save(differ, "differ")
     out = wide.join(level, "digest")

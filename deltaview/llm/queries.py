@@ -52,7 +52,21 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*[F.col(f"_mix_{a}").alias(b) for a, b in (("id", "doc_id"), ("source", "source"), ("tokens", "n_tokens"), ("epoch", "epoch"), ("block", "block"), ("weight", "weight"))])
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deltaview.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deltaview.llm.quality import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op3_quality": op3_quality,
+    "op6_packing": op6_packing,
     "op1_source_mixing": op1_source_mixing,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_warc": op10_warc,
