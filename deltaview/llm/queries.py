@@ -64,7 +64,14 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deltaview.llm.jaccard_join import jaccard_join
+
+    return jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op7_jaccard_join": op7_jaccard_join,
     "op3_quality": op3_quality,
     "op6_packing": op6_packing,
     "op1_source_mixing": op1_source_mixing,
