@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deltaview.session import ship
+
 #: At most so many rated documents are fitted.
 MAX_FIT = 6000
 WORD_DIMS = 1 << 15
@@ -122,6 +124,7 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, ratings: DataFrame, levels: int, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", max_fit: int = MAX_FIT) -> CumulativeLink | None:
     """Fit on rated documents; None where fewer than two grades occur. ratings: id and grade 0 .. levels-1."""
+    ship(docs.sparkSession)
     rated = ratings.select(F.col(id_col).alias("rated_id"), F.col(grade_col).cast("int").alias("grade")).filter("grade IS NOT NULL AND rated_id IS NOT NULL")
     rated = rated.orderBy(F.xxhash64("rated_id"), "rated_id").limit(max_fit)
     # at most max_fit rows of two numbers
@@ -153,6 +156,7 @@ def _scorer(weights: np.ndarray, theta: np.ndarray):
 
 def grade(docs: DataFrame, model: CumulativeLink | None, levels: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, expected_grade and tails (P(grade >= k) for k = 1 ..) of every document."""
+    ship(docs.sparkSession)
     if model is None:
         sure = F.array(*[F.lit(1.0)] * (levels - 1))
         return docs.select(F.col(id_col), F.lit(float(levels - 1)).alias("expected_grade"), sure.alias("tails"))

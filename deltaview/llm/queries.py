@@ -70,7 +70,17 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deltaview.llm import toxicity as t
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = t.in_fold(F.col("doc_id"), 4, 2)
+    model = t.train(docs, _table(spark, sf_dir, "labels").filter(~held_out))
+    return t.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= t.THRESHOLD).cast("int").alias("predicted"), "evidence")
+
+
 QUERIES = {
+    "op5_toxicity": op5_toxicity,
     "op7_jaccard_join": op7_jaccard_join,
     "op3_quality": op3_quality,
     "op6_packing": op6_packing,
