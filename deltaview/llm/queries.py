@@ -79,7 +79,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= t.THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deltaview.llm.lm_scoring import lm_scores
+
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op9_lm_scoring": op9_lm_scoring,
     "op5_toxicity": op5_toxicity,
     "op7_jaccard_join": op7_jaccard_join,
     "op3_quality": op3_quality,
