@@ -85,7 +85,14 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deltaview.llm.embedding_dedup import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op5_toxicity": op5_toxicity,
     "op7_jaccard_join": op7_jaccard_join,
