@@ -91,7 +91,14 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deltaview.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op5_toxicity": op5_toxicity,
