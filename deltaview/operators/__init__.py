@@ -1 +1,3 @@
+from deltaview.operators import aggregates, invariants, joins, sets
 
+__all__ = ["aggregates", "invariants", "joins", "sets"]

@@ -1 +1,3 @@
+from deltaview.sources import changelog, feeds
 
+__all__ = ["changelog", "feeds"]
