@@ -12,9 +12,12 @@ both sets; hence each set indexes H + 1 segments only and skips its costly ones.
 small that segments would be single shingles, a band has half as many segments and indexes each
 with its one-deletion neighbourhood, as one agreement up to one shingle then covers two differences.
 
-Candidates of a segment are not paired with one another: each is checked against the smallest one,
-links are contracted into components, and only pairs of different components remain to be checked.
-Every check compares whole sets. Equal sets are one node throughout.
+Candidates of a segment are not paired with one another in rows: each is checked against the
+smallest one, the list's centre c, by comparing whole sets, and links become components. Where the
+sets of a centre lie in several components, those left are compared with one another by what they
+differ from c in: |X xor Y| = |(X xor c) xor (Y xor c)|, so the shingles of c that each lacks (bits)
+and those it has besides (hashes) give the exact similarity. A task holds two blocks of such
+differences and reports links that join components, never all pairs. Equal sets are one node.
 
 Sets are named by a 64-bit digest. Defined results: null, empty and blank texts have the empty set,
 which links with nothing; shorter texts than a shingle are one shingle; repeated rows are equal sets;
@@ -254,62 +257,64 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _stars(similarity: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            o, z = batch.column(1), batch.column(2)
-            off = np.asarray(o.offsets)
-            flat, size = np.asarray(o.flatten()), np.asarray(z.flatten()).astype(np.int64)
-            off = off - off[0]
-            n = np.diff(off)
-            a, na = np.repeat(flat[off[:-1]], n), np.repeat(size[off[:-1]], n)
-            ok = (a != flat) & (100 * np.minimum(na, size) >= similarity * np.maximum(na, size))
-            pairs = np.unique(np.c_[a[ok], flat[ok]], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    return run
-
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each list's first member, its centre, with each of the others."""
+    for batch in batches:
+        o = batch.column(1)
+        off = np.asarray(o.offsets)
+        flat = np.asarray(o.flatten())
+        off = off - off[0]
+        a = np.repeat(flat[off[:-1]], np.diff(off))
+        pairs = np.unique(np.c_[a[a != flat], flat[a != flat]], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-def _rest(similarity: int):
-    """Pairs of different components within a list, but for those with its first member."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for members in batch.column(1).to_pylist():
-                m = sorted((x["owner"], x["label"], x["size"]) for x in members)
-                o, lab, z = (np.array(c, np.int64) for c in zip(*m, strict=True))
-                for i in range(1, len(o) - 1):
-                    zi, zj = z[i], z[i + 1 :]
-                    ok = (lab[i + 1 :] != lab[i]) & (100 * np.minimum(zi, zj) >= similarity * np.maximum(zi, zj))
-                    if ok.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(ok.sum(), o[i])), pa.array(o[i + 1 :][ok])], ["a", "b"])
-
-    return run
+CHECKED = "a long, b long, linked boolean, n_a int, n_b int, lacks binary, besides binary"
 
 
 def _verify(words: int, similarity: int):
-    """Rows sorted by group, its centre first: which members link with the centre."""
+    """Rows sorted by group, its centre first: how each member compares with the centre.
+
+    lacks: bits of the centre's shingles that the member has not; besides: its shingles that the centre has not.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, centre, name = None, None, None
+        cache_of: dict[int, np.ndarray] = {}
+        held = 0
         for batch in batches:
-            a, b = [], []
+            out: list[list] = [[], [], [], [], [], [], []]
             for g, k, leaf, node, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                x = shingle_set(text, words)
+                x = cache_of.get(node)
+                if x is None:
+                    x = shingle_set(text, words)
+                    held += len(x)
+                    if held > 1 << 22:
+                        cache_of, held = {}, len(x)
+                    cache_of[node] = x
                 if (g, k) != group:
                     group, centre, name = (g, k), x, node
                     if leaf:
                         raise ValueError("a group lacks its centre")
-                elif leaf and linked(centre, x, similarity):
-                    a.append(name)
-                    b.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    continue
+                if not leaf:
+                    continue
+                at = np.minimum(np.searchsorted(centre, x), len(centre) - 1)
+                hit = centre[at] == x
+                lacks = np.ones(len(centre), bool)
+                lacks[at[hit]] = False
+                both = int(hit.sum())
+                row = (name, node, both > 0 and 100 * both >= similarity * (len(x) + len(centre) - both), len(centre), len(x), np.packbits(lacks).tobytes(), x[~hit].tobytes())
+                for c, v in zip(out, row, strict=True):
+                    c.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["a", "b", "linked", "n_a", "n_b", "lacks", "besides"])
 
     return run
 
 
 def check_pairs(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str, words: int, similarity: int) -> DataFrame:
-    """The pairs (a, b) that link. texts: node, text. A centre meets at most 64 or so others in one group."""
+    """CHECKED rows of pairs (a, b). texts: node, text. A centre meets at most 64 or so others in one group."""
     counts = pairs.groupBy(F.col("a").alias("centre")).agg(F.ceil(F.count(F.lit(1)) / 64).cast("int").alias("chunks"))
     counts = scratch.save(counts, f"{name}-counts")
     leaves = pairs.join(counts, F.col("a") == F.col("centre")).select("centre", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), F.lit(True).alias("leaf"), F.col("b").alias("node"))
@@ -318,7 +323,87 @@ def check_pairs(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str,
     asked = scratch.save(leaves.unionByName(centres), f"{name}-asked")
     rows = asked.join(texts.withColumnRenamed("node", "text_node"), F.col("node") == F.col("text_node")).select("centre", "chunk", "leaf", "node", "text")
     rows = rows.repartition(partitions(scratch.spark), "centre", "chunk").sortWithinPartitions("centre", "chunk", "leaf")
-    return scratch.save(rows.mapInArrow(_verify(words, similarity), "a long, b long"), f"{name}-links")
+    return scratch.save(rows.mapInArrow(_verify(words, similarity), CHECKED), f"{name}-checked")
+
+
+class Differences:
+    """Sets of one centre as their differences from it."""
+
+    def __init__(self, rows: list[tuple]):
+        """rows: node, label, size, size of the centre, lacks, besides."""
+        self.node = np.array([r[0] for r in rows], np.int64)
+        self.label = np.array([r[1] for r in rows], np.int64)
+        self.size = np.array([r[2] for r in rows], np.int64)
+        self.bits = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+        self.besides = [np.frombuffer(r[5], np.uint64) for r in rows]
+        self.n_lacks = np.bitwise_count(self.bits).sum(1, dtype=np.int64)
+        self.n_besides = np.array([len(b) for b in self.besides], np.int64)
+        tokens = np.concatenate(self.besides)
+        owner = np.repeat(np.arange(len(rows)), self.n_besides)
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.owner = tokens[order], owner[order]
+
+    def differ(self, bits: np.ndarray, besides: np.ndarray) -> np.ndarray:
+        """Size of the symmetric difference of one set with each of these."""
+        common = np.bitwise_count(self.bits & bits).sum(1, dtype=np.int64)
+        lo, hi = np.searchsorted(self.tokens, besides, "left"), np.searchsorted(self.tokens, besides, "right")
+        some = hi > lo
+        if some.any():
+            at = np.concatenate([self.owner[i:j] for i, j in zip(lo[some].tolist(), hi[some].tolist(), strict=True)])
+            common = common + np.bincount(at, minlength=len(self.node))
+        return self.n_lacks + self.n_besides + int(np.bitwise_count(bits).sum()) + len(besides) - 2 * common
+
+
+def joining_links(left: Differences, right: Differences, similarity: int, own: bool) -> list[tuple[int, int]]:
+    """Links that join components, as few as suffice: links within what has been joined add nothing."""
+    lab_l = left.label.copy()
+    lab_r = lab_l if own else right.label.copy()
+    out = []
+    for i in range(len(left.node)):
+        first = i + 1 if own else 0
+        other = lab_r[first:] != lab_l[i]
+        if not other.any():
+            continue
+        d = right.differ(left.bits[i], left.besides[i])[first:]
+        total = left.size[i] + right.size[first:]
+        both = (total - d) // 2
+        hit = np.flatnonzero(other & (both > 0) & (100 * both >= similarity * (total - both)))
+        for j in (first + hit).tolist():
+            old, new = int(lab_r[j]), int(lab_l[i])
+            if old != new:
+                out.append((int(left.node[i]), int(right.node[j])))
+                for lab in (lab_l, lab_r):
+                    lab[lab == old] = new
+    return out
+
+
+def _compare(similarity: int):
+    """Rows sorted by (centre, block pair): a, x, y, side, node, label, n_b, n_a, lacks, besides."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settle(key: tuple, held: list[tuple]) -> pa.RecordBatch:
+            own = key[1] == key[2]
+            left = Differences([r[1:] for r in held if r[0] == key[1]]) if any(r[0] == key[1] for r in held) else None
+            right = left if own else Differences([r[1:] for r in held if r[0] == key[2]]) if any(r[0] == key[2] for r in held) else None
+            links = joining_links(left, right, similarity, own) if left is not None and right is not None else []
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in links], pa.int64()), pa.array([p[1] for p in links], pa.int64())], ["a", "b"])
+
+        key, held = None, []
+        for batch in batches:
+            for a, x, y, *row in zip(*(batch.column(i).to_pylist() for i in range(10)), strict=True):
+                if (a, x, y) != key:
+                    if key is not None:
+                        yield settle(key, held)
+                    key, held = (a, x, y), []
+                held.append(tuple(row))
+        if key is not None:
+            yield settle(key, held)
+
+    return run
+
+
+#: Sets of a centre whose differences one task compares with as many others.
+BLOCK = 2048
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
@@ -334,24 +419,26 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     blobs = rows.mapInArrow(_index(frequent, words, similarity, parts), "part int, sigs binary, owners binary, sizes binary")
     lists = blobs.repartition(partitions(spark), "part").mapInArrow(_lists, "list long, owners array<long>, sizes array<int>")
     lists = scratch.save(lists, "lists")
-    pairs = scratch.save(lists.mapInArrow(_stars(similarity), "a long, b long").distinct(), "stars")
+    pairs = scratch.save(lists.mapInArrow(_stars, "a long, b long").distinct(), "stars")
     # whole texts of the sets in question, one document for each set
     reps = sets.groupBy("name").agg(F.min("id").alias("rep"))
-    triples = lists.filter("size(owners) > 2").select(F.explode("owners").alias("node"))
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(triples).distinct()
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     asked = scratch.save(reps.join(nodes, F.col("name") == F.col("node")).select("node", "rep"), "nodes")
     texts = scratch.save(rows.join(asked, F.col("id") == F.col("rep")).select("node", "text"), "texts")
-    links = check_pairs(pairs, texts, scratch, "first", words, similarity)
-    label = components(links, scratch, "cc1")
-    # lists whose members lie in several components
-    members = lists.filter("size(owners) > 2").dropDuplicates(["list"]).select("list", F.explode(F.arrays_zip("owners", "sizes")).alias("m"))
-    members = members.select("list", F.col("m.owners").alias("owner"), F.col("m.sizes").alias("size"))
-    members = members.join(label, F.col("owner") == F.col("node"), "left").select("list", "owner", "size", F.coalesce("component", "owner").alias("label"))
-    members = scratch.save(members, "members")
-    torn = members.groupBy("list").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("list")
-    groups = members.join(torn, "list", "left_semi").groupBy("list").agg(F.collect_list(F.struct("owner", "label", "size")).alias("members"))
-    more = scratch.save(groups.mapInArrow(_rest(similarity), "a long, b long").distinct(), "rest")
-    links = links.unionByName(check_pairs(more, texts, scratch, "second", words, similarity))
+    checked = check_pairs(pairs, texts, scratch, "star", words, similarity)
+    links = checked.filter("linked").select("a", "b")
+    label = scratch.save(components(links, scratch, "cc1"), "cc1-labels")
+    # centres whose sets lie in several components
+    labelled = checked.select("a", "b").join(label, F.col("b") == F.col("node"), "left").select("a", "b", F.coalesce("component", "b").alias("label"))
+    labelled = scratch.save(labelled, "labelled")
+    torn = labelled.groupBy("a").agg(F.min("label").alias("u"), F.max("label").alias("v"), F.count(F.lit(1)).alias("k")).filter("u <> v")
+    torn = scratch.save(torn.select(F.col("a").alias("c"), F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "torn")
+    dealt = labelled.join(torn, F.col("a") == F.col("c")).withColumn("side", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(F.col("a").alias("da"), F.col("b").alias("db"), F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "label")
+    full = checked.join(dealt, (F.col("a") == F.col("da")) & (F.col("b") == F.col("db"))).select("a", "x", "y", "side", F.col("b").alias("node"), "label", "n_b", "n_a", "lacks", "besides")
+    full = full.repartition(partitions(spark), "a", "x", "y").sortWithinPartitions("a", "x", "y")
+    links = links.unionByName(scratch.save(full.mapInArrow(_compare(similarity), "a long, b long"), "joining"))
     label = scratch.save(components(links, scratch, "cc2"), "labels")
     named = sets.join(label, F.col("name") == F.col("node"), "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("component", "name")).alias("label"))
     named = scratch.save(named, "named")
