@@ -43,8 +43,8 @@ WORDS, SIMILARITY = 5, 75
 FREQUENT = 1 << 16
 #: Texts whose shingles are counted together, and how often a shingle counts as frequent among them.
 GROUP, OFTEN = 2048, 6
-#: Cost of a list of candidates against that of a signature, for segments of one shingle.
-LIST_COST = 5.0
+#: Cost of the list of candidates of one shingle against that of a signature; of t shingles exp(2 - 2 t) of it.
+LIST_COST = 12.0
 
 _U = np.uint64
 _P = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U(0x27D4EB2F165667C5), _U(0xD6E8FEB86659FD93)]
@@ -100,11 +100,12 @@ class Bands:
         low, high = 1 << band, (2 << band) - 1
         need = self.differ(high, self.largest(high)) + 1
         plain, near = max(low + 2, need), (need + 1) // 2
-        size = (low + high) / 2
-        per, wide = max(1.0, size / plain), size / near
-        kept = self.differ(int(size), self.largest(int(size))) + 1
-        cost_plain = kept * (1 + LIST_COST / per**2)
-        cost_near = near * (1 + wide) * (1 + LIST_COST / max(1.0, wide - 1) ** 2)
+        # the indexed segments are the fuller ones: about half of the others are empty
+        per, wide = max(1.0, high / (need + (plain - need) / 2)), high / near
+        cost_plain = need * (1 + LIST_COST * np.exp(-2 * (per - 1)))
+        # a deletion from a segment of one shingle meets every set that lacks the segment
+        thin = near * np.exp(-wide) * (1 + wide) if near > 1 else 0.0
+        cost_near = near * (1 + wide) * (1 + LIST_COST * np.exp(-2 * max(0.0, wide - 2))) + thin * LIST_COST**2
         return (near, 1) if cost_near < cost_plain else (plain, 0)
 
     def roles(self, n: int) -> list[tuple[int, int]]:
