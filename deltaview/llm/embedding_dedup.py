@@ -60,7 +60,7 @@ def list_names(near: np.ndarray, label: np.ndarray, shared: int) -> np.ndarray:
 
 
 def _post(pivots: dict[int, np.ndarray], prefix: int, shared: int):
-    """node, label, vector -> one row per list of the node."""
+    """node, label, vector -> node and the names of its lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,10 +75,8 @@ def _post(pivots: dict[int, np.ndarray], prefix: int, shared: int):
                     k = min(prefix, len(p))
                     near = np.argsort(-(x @ p.T), axis=1, kind="stable")[:, :k] if k else np.zeros((len(own), 0), np.int64)
                     names = list_names(near, label[own], shared) ^ np.uint64(d)
-                    m = names.shape[1]
-                    packed = pa.array([names[i].tobytes() for i in range(len(own)) for _ in range(m)], pa.binary())
-                    rep = np.repeat(np.arange(len(own)), m)
-                    yield pa.RecordBatch.from_arrays([pa.array(names.ravel().view(np.int64)), pa.array(node[own][rep]), packed], ["list", "node", "lists"])
+                    offsets = pa.array(np.arange(len(own) + 1) * names.shape[1], pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.ListArray.from_arrays(offsets, pa.array(names.ravel().view(np.int64)))], ["node", "lists"])
 
     return run
 
@@ -103,8 +101,8 @@ def _compare(threshold: float):
             if not len(i):
                 return None
             # a pair counts in the smallest of its common lists
-            la = np.stack([np.frombuffer(r[4], np.uint64) for r in left])
-            lb = la if own else np.stack([np.frombuffer(r[4], np.uint64) for r in right])
+            la = np.array([r[4] for r in left], np.int64).view(np.uint64)
+            lb = la if own else np.array([r[4] for r in right], np.int64).view(np.uint64)
             this = np.int64(key[0]).view(np.uint64)
             earlier = np.zeros(len(i), bool)
             for c in range(la.shape[1]):
@@ -181,17 +179,18 @@ def near_vectors(
     nodes = scratch.save(nodes, "nodes")
     drawn = [np.frombuffer(r["unit"]) for r in nodes.orderBy(F.xxhash64("unit"), "node").limit(sample).select("unit").collect()]
     points = {d: choose_pivots(np.stack([v for v in drawn if len(v) == d]), pivots) for d in {len(v) for v in drawn}}
-    posts = nodes.select("node", "label", "unit").mapInArrow(_post(points, prefix, shared), "list long, node long, lists binary")
-    posts = scratch.save(posts, "posts")
+    described = scratch.save(nodes.select("node", "label", "unit").mapInArrow(_post(points, prefix, shared), "node long, lists array<long>"), "described")
+    posts = described.select("node", F.explode("lists").alias("list"))
     # lists of one member have nothing to compare; long ones are cut into blocks by a hash of the node
     sizes = posts.groupBy(F.col("list").alias("l")).agg(F.count(F.lit(1)).alias("size")).filter("size > 1").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     sizes = scratch.save(sizes, "sizes")
     dealt = posts.join(sizes, F.col("list") == F.col("l")).withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # each block meets every block, itself included
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("list", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", F.col("node").alias("member"), "lists")
-    # the vector is fetched by its node
-    full = dealt.join(nodes, F.col("member") == F.col("node")).select("list", "x", "y", "side", "node", "copies", "unit", "lists")
+    dealt = dealt.select("list", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", F.col("node").alias("member"))
+    # vector and lists are fetched by node
+    known = nodes.join(described.withColumnRenamed("node", "dn"), F.col("node") == F.col("dn")).select("node", "copies", "unit", "lists")
+    full = dealt.join(known, F.col("member") == F.col("node")).select("list", "x", "y", "side", "node", "copies", "unit", "lists")
     full = full.repartition(n, "list", "x", "y").sortWithinPartitions("list", "x", "y")
     found = scratch.save(full.mapInArrow(_compare(threshold), "node long, links long, least long"), "found")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
