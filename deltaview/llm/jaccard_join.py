@@ -270,46 +270,46 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-CHECKED = "a long, b long, linked boolean, n_a int, n_b int, lacks binary, besides binary"
+CHECKED = "a long, b long, linked boolean, n_b int"
+#: Shingles of the sets that a worker remembers.
+REMEMBERED = 1 << 22
 
 
-def _verify(words: int, similarity: int):
-    """Rows sorted by group, its centre first: how each member compares with the centre.
+class Sets:
+    """Shingle sets by node, computed once while there is room."""
+
+    def __init__(self, words: int):
+        self.words, self.known, self.held = words, {}, 0
+
+    def of(self, node: int, text: str | None) -> np.ndarray:
+        x = self.known.get(node)
+        if x is None:
+            x = shingle_set(text, self.words)
+            self.held += len(x)
+            if self.held > REMEMBERED:
+                self.known, self.held = {}, len(x)
+            self.known[node] = x
+        return x
 
-    lacks: bits of the centre's shingles that the member has not; besides: its shingles that the centre has not.
-    """
+
+def _verify(words: int, similarity: int):
+    """Rows sorted by group, its centre first: whether each member links with the centre."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, centre, name = None, None, None
-        cache_of: dict[int, np.ndarray] = {}
-        held = 0
+        sets = Sets(words)
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], [], []]
+            out: list[list] = [[], [], [], []]
             for g, k, leaf, node, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                x = cache_of.get(node)
-                if x is None:
-                    x = shingle_set(text, words)
-                    held += len(x)
-                    if held > 1 << 22:
-                        cache_of, held = {}, len(x)
-                    cache_of[node] = x
+                x = sets.of(node, text)
                 if (g, k) != group:
                     group, centre, name = (g, k), x, node
                     if leaf:
                         raise ValueError("a group lacks its centre")
-                    continue
-                if not leaf:
-                    continue
-                at = np.minimum(np.searchsorted(centre, x), len(centre) - 1)
-                hit = centre[at] == x
-                lacks = np.ones(len(centre), bool)
-                lacks[at[hit]] = False
-                both = int(hit.sum())
-                row = (name, node, both > 0 and 100 * both >= similarity * (len(x) + len(centre) - both), len(centre), len(x), np.packbits(lacks).tobytes(), x[~hit].tobytes())
-                for c, v in zip(out, row, strict=True):
-                    c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["a", "b", "linked", "n_a", "n_b", "lacks", "besides"])
+                elif leaf:
+                    for c, v in zip(out, (name, node, linked(centre, x, similarity), len(x)), strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.bool_(), pa.int32()), strict=True)], ["a", "b", "linked", "n_b"])
 
     return run
 
@@ -378,33 +378,50 @@ def joining_links(left: Differences, right: Differences, similarity: int, own: b
     return out
 
 
-def _compare(similarity: int):
-    """Rows sorted by (centre, block pair): a, x, y, side, node, label, n_b, n_a, lacks, besides."""
+def difference(centre: np.ndarray, x: np.ndarray) -> tuple[bytes, bytes]:
+    """Bits of the centre's shingles that x lacks, and the shingles that it has besides."""
+    at = np.minimum(np.searchsorted(centre, x), len(centre) - 1)
+    hit = centre[at] == x
+    lacks = np.ones(len(centre), bool)
+    lacks[at[hit]] = False
+    return np.packbits(lacks).tobytes(), x[~hit].tobytes()
+
+
+def _compare(words: int, similarity: int):
+    """Rows sorted by (centre, block pair), the centre first (side -1): a, x, y, side, node, label, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = Sets(words)
+
         def settle(key: tuple, held: list[tuple]) -> pa.RecordBatch:
             own = key[1] == key[2]
-            left = Differences([r[1:] for r in held if r[0] == key[1]]) if any(r[0] == key[1] for r in held) else None
-            right = left if own else Differences([r[1:] for r in held if r[0] == key[2]]) if any(r[0] == key[2] for r in held) else None
-            links = joining_links(left, right, similarity, own) if left is not None and right is not None else []
+            sides = [[r[1:] for r in held if r[0] == s] for s in key[1:]]
+            links = []
+            if all(sides):
+                left = Differences(sides[0])
+                links = joining_links(left, left if own else Differences(sides[1]), similarity, own)
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in links], pa.int64()), pa.array([p[1] for p in links], pa.int64())], ["a", "b"])
 
-        key, held = None, []
+        key, held, centre = None, [], None
         for batch in batches:
-            for a, x, y, *row in zip(*(batch.column(i).to_pylist() for i in range(10)), strict=True):
+            for a, x, y, side, node, label, text in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                own = sets.of(node, text)
                 if (a, x, y) != key:
                     if key is not None:
                         yield settle(key, held)
-                    key, held = (a, x, y), []
-                held.append(tuple(row))
+                    key, held, centre = (a, x, y), [], own
+                    if side >= 0:
+                        raise ValueError("a group lacks its centre")
+                elif side >= 0:
+                    held.append((side, node, label, len(own), len(centre), *difference(centre, own)))
         if key is not None:
             yield settle(key, held)
 
     return run
 
 
-#: Sets of a centre whose differences one task compares with as many others.
-BLOCK = 2048
+#: Sets of a centre, and their shingles, whose differences one task compares with as many others.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
@@ -430,16 +447,19 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = checked.filter("linked").select("a", "b")
     label = scratch.save(components(links, scratch, "cc1"), "cc1-labels")
     # centres whose sets lie in several components
-    labelled = checked.select("a", "b").join(label, F.col("b") == F.col("node"), "left").select("a", "b", F.coalesce("component", "b").alias("label"))
+    labelled = checked.join(label, F.col("b") == F.col("node"), "left").select("a", "b", "n_b", F.coalesce("component", "b").alias("label"))
     labelled = scratch.save(labelled, "labelled")
-    torn = labelled.groupBy("a").agg(F.min("label").alias("u"), F.max("label").alias("v"), F.count(F.lit(1)).alias("k")).filter("u <> v")
-    torn = scratch.save(torn.select(F.col("a").alias("c"), F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "torn")
+    torn = labelled.groupBy("a").agg(F.min("label").alias("u"), F.max("label").alias("v"), F.count(F.lit(1)).alias("k"), F.sum("n_b").alias("n")).filter("u <> v")
+    torn = scratch.save(torn.select(F.col("a").alias("c"), F.ceil(F.greatest(F.col("k") / BLOCK, F.col("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "torn")
     dealt = labelled.join(torn, F.col("a") == F.col("c")).withColumn("side", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(F.col("a").alias("da"), F.col("b").alias("db"), F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "label")
-    full = checked.join(dealt, (F.col("a") == F.col("da")) & (F.col("b") == F.col("db"))).select("a", "x", "y", "side", F.col("b").alias("node"), "label", "n_b", "n_a", "lacks", "besides")
-    full = full.repartition(partitions(spark), "a", "x", "y").sortWithinPartitions("a", "x", "y")
-    links = links.unionByName(scratch.save(full.mapInArrow(_compare(similarity), "a long, b long"), "joining"))
+    dealt = dealt.select("a", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", F.col("b").alias("member"), "label")
+    heads = torn.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("y", F.explode(F.sequence(F.col("x"), F.col("blocks") - 1)))
+    heads = heads.select(F.col("c").alias("a"), "x", "y", F.lit(-1).alias("side"), F.col("c").alias("member"), F.col("c").alias("label"))
+    dealt = scratch.save(dealt.unionByName(heads), "dealt")
+    full = dealt.join(texts, F.col("member") == F.col("node")).select("a", "x", "y", "side", "node", "label", "text")
+    full = full.repartition(partitions(spark), "a", "x", "y").sortWithinPartitions("a", "x", "y", "side")
+    links = links.unionByName(scratch.save(full.mapInArrow(_compare(words, similarity), "a long, b long"), "joining"))
     label = scratch.save(components(links, scratch, "cc2"), "labels")
     named = sets.join(label, F.col("name") == F.col("node"), "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("component", "name")).alias("label"))
     named = scratch.save(named, "named")
