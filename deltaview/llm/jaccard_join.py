@@ -40,9 +40,9 @@ from deltaview.llm._store import Scratch, partitions
 
 WORDS, SIMILARITY = 5, 75
 #: Frequent shingles that order segments, at most; they change the cost alone.
-FREQUENT = 1 << 16
+FREQUENT = 1 << 17
 #: Texts whose shingles are counted together, and how often a shingle counts as frequent among them.
-GROUP, OFTEN = 2048, 6
+GROUP, OFTEN = 8192, 2
 #: Cost of the list of candidates of one shingle against that of a signature; of t shingles exp(2 - 2 t) of it.
 LIST_COST = 12.0
 
