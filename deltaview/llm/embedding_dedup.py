@@ -8,8 +8,8 @@ pivots; a list is named by the label and those pivots. Candidates of a list are
 cosine in double precision. A pair that shares several lists counts in the first of them alone.
 
 Equal vectors are one node with a multiplicity. A list leaves its task not as pairs but as counts
-of links for each member, and as one link for each member to the smallest one it is linked with;
-lists of many members are cut into blocks that are compared block against block in different tasks.
+of links for each member, and as one link for each member to the smallest one that it reaches by the
+links compared in one go, which joins all that these links join; lists of many members are cut into blocks that are compared block against block in different tasks.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows
 without a label, link with nothing; vectors of different lengths do not link; rows that repeat an id
@@ -81,6 +81,20 @@ def _post(pivots: dict[int, np.ndarray], prefix: int, shared: int):
     return run
 
 
+def joined(i: np.ndarray, j: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """The smallest node that each member reaches by the links i-j, which are given in both directions."""
+    order = np.argsort(nodes)
+    low = np.empty(len(nodes), np.int64)
+    low[order] = np.arange(len(nodes))
+    while True:
+        new = low.copy()
+        np.minimum.at(new, i, low[j])
+        new = new[order[new]]
+        if (new == low).all():
+            return nodes[order[low]]
+        low = new
+
+
 def _compare(threshold: float):
     """Rows sorted by (list, block pair): list, x, y, side, node, copies, unit, lists -> node, links, least."""
 
@@ -113,19 +127,12 @@ def _compare(threshold: float):
             i, j = i[~earlier], j[~earlier]
             nodes_a, nodes_b = np.array([r[1] for r in left]), np.array([r[1] for r in right])
             ca, cb = np.array([r[2] for r in left]), np.array([r[2] for r in right])
-            parts = [(nodes_a, i, cb[j], nodes_b[j])]
+            nodes, copies = (nodes_a, ca) if own else (np.concatenate([nodes_a, nodes_b]), np.concatenate([ca, cb]))
             if not own:
-                parts.append((nodes_b, j, ca[i], nodes_a[i]))
-            node, links, least = [], [], []
-            for nodes, at, copies, other in parts:
-                n = np.bincount(at, weights=copies, minlength=len(nodes)).astype(np.int64)
-                low = np.full(len(nodes), np.iinfo(np.int64).max)
-                np.minimum.at(low, at, other)
-                hit_at = np.flatnonzero(n)
-                node.append(nodes[hit_at])
-                links.append(n[hit_at])
-                least.append(low[hit_at])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (node, links, least)], ["node", "links", "least"])
+                i, j = np.concatenate([i, j + len(left)]), np.concatenate([j + len(left), i])
+            links = np.bincount(i, weights=copies[j], minlength=len(nodes)).astype(np.int64)
+            hit_at = np.flatnonzero(links)
+            return pa.RecordBatch.from_arrays([pa.array(c[hit_at]) for c in (nodes, links, joined(i, j, nodes))], ["node", "links", "least"])
 
         key, held = None, []
         for batch in batches:

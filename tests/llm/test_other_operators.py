@@ -123,6 +123,20 @@ def test_near_vectors(spark, monkeypatch, block):
     assert ed.near_vectors(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+@pytest.mark.parametrize("block", [1024, 8])
+def test_chains_of_links_stay_whole(spark, monkeypatch, block):
+    """Groups that only chains hold together, with ids in any order."""
+    monkeypatch.setattr(ed, "BLOCK", block)
+    at = [(1, 0), (2, 60), (3, 20), (4, 40)]
+    chain = [x for x in range(0, 340, 20)]
+    random.Random(3).shuffle(chain)
+    at += [(10 + i, a) for i, a in enumerate(chain)]
+    items = [(i, [math.cos(math.radians(a)), math.sin(math.radians(a))], int(i >= 10), 1, "u", 1) for i, a in at]
+    got = sorted(tuple(r) for r in ed.near_vectors(spark.createDataFrame(items, VECTORS)).collect())
+    assert got == brute_vectors(items, ed.THRESHOLD)
+    assert {r[2] for r in got if r[0] < 10} == {1}
+
+
 def test_index_recall_against_brute_force():
     """Recall of the candidate lists, on clusters about as tight as the threshold allows."""
     rng = np.random.default_rng(1)
