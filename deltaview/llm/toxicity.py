@@ -1,12 +1,18 @@
-"""Toxicity by nearest labelled examples under exact TF-IDF cosine.
+"""Toxicity by nearest labelled examples under the cosine of weighted TF-IDF vectors.
 
 Examples are at most ``max_fit`` labelled documents of the training rows (smallest hash of their id).
-Terms are words of letters and digits and the first bytes of longer words; those that the examples' labels depend on (chi-square) span
-the vectors, and their document frequencies are counted over all documents. The examples form an
-inverted index whose postings lie in blocks with their largest weight. A search bounds each block by
-the query's weights times these maxima and opens blocks from the best bound down until none can
-change the k nearest, so the neighbours are exact. Their labels vote with weights that grow as the
-distance shrinks; the votes that each example gets from the others calibrate the score.
+Terms are words of letters and digits and the first bytes of longer words. Every term of an example
+is a dimension; none is left out by frequency, relevance or number. Its weight is (1 + log tf) times
+idf, with document frequencies over all documents, times the correlation of the term with the
+examples' labels (the root of chi-square over the number of examples) plus one over their number.
+Words that no example holds have no dimension.
+
+The examples form an inverted index whose postings lie in blocks with their largest weight; terms of
+many examples are dense rows, which a matrix product scores for many texts at once. A search bounds
+each block by its best dense score and the query's weights times these maxima, and opens blocks from
+the best bound down until none can change the k nearest, so the neighbours are exact. Their labels
+vote with weights that grow as the distance shrinks; the votes that each example gets from the others
+calibrate the score.
 
 Defined results: null and empty texts, and texts without any term of the index, have no neighbours
 and get the calibrated share of toxic examples without terms; without labels of both classes every
@@ -18,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +33,12 @@ from pyspark.sql import functions as F
 
 from deltaview.session import ship
 
-MAX_FIT, MAX_TERMS, K = 8000, 1024, 15
-#: A term spans a dimension from this chi-square and number of examples on.
-LEAST_CHI2, LEAST_DF = 60.0, 5
+MAX_FIT, K = 8000, 15
 BLOCK = 64
+#: A term of more than one in so many examples is a dense row of the index.
+DENSE = 16
+#: Distinct words whose terms a worker remembers; it starts again when full.
+CACHE = 400_000
 #: Lengths of word beginnings that are terms.
 HEADS = (4, 5, 6, 7)
 THRESHOLD = 0.3
@@ -48,102 +57,164 @@ def terms(text: str | None) -> list[bytes]:
     return w + [b"^" + x[:n] for n in HEADS for x in w if len(x) > n]
 
 
-class Known:
-    """Finds the terms of a vocabulary in a text."""
+class Terms:
+    """Finds the terms of a vocabulary in texts; the terms of each distinct word are looked up once."""
 
     def __init__(self, vocabulary: list[bytes]):
-        self.words = {v for v in vocabulary if v[:1] != b"^"}
-        self.heads = [(n, heads) for n in HEADS if (heads := {v[1:] for v in vocabulary if v[:1] == b"^" and len(v) == n + 1})]
-
-    def terms(self, text: str | None) -> list[bytes]:
-        w = words(text)
-        out = [x for x in w if x in self.words]
-        for n, heads in self.heads:
-            out += [b"^" + x[:n] for x in w if x[:n] in heads and len(x) > n]
-        return out
+        self.at = {w: i for i, w in enumerate(vocabulary)}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.seen: dict[bytes, int] = {}
+        self.rows = np.empty((4096, 1 + len(HEADS)), np.int32)
+
+    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Terms in ascending order and how often each occurs."""
+        if len(self.seen) > CACHE:
+            self._forget()
+        w, seen, at = words(text), self.seen, self.at
+        old, put = len(seen), seen.setdefault
+        seq = np.fromiter((put(x, len(seen)) for x in w), np.int64, len(w))
+        if len(seen) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.empty((len(seen), self.rows.shape[1]), np.int32)])
+        for i, x in zip(range(len(seen) - 1, old - 1, -1), islice(reversed(seen), len(seen) - old)):
+            self.rows[i] = [at.get(x, -1), *(at.get(b"^" + x[:n], -1) if len(x) > n else -1 for n in HEADS)]
+        found = self.rows[seq].ravel()
+        return np.unique(found[found >= 0], return_counts=True)
+
+
+def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges of ``size`` from ``first`` on."""
+    return np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
 
 
 @dataclass
 class BlockMaxIndex:
-    """Postings by term; unit example vectors in blocks of BLOCK."""
+    """Postings by term, cut into runs of one block each; unit example vectors in blocks of BLOCK."""
 
     ids: np.ndarray
     labels: np.ndarray
-    postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # examples, weights, first posting of each block
-    maxima: np.ndarray  # terms x blocks
+    docs: np.ndarray  # postings in order of term and example
+    weights: np.ndarray
+    runs: np.ndarray  # first run of each term
+    run_block: np.ndarray
+    run_first: np.ndarray  # first posting of each run
+    run_max: np.ndarray
+    row: np.ndarray  # row of each term in the dense part, or -1
+    _dense: np.ndarray | None = None
 
     @classmethod
     def build(cls, ids: np.ndarray, labels: np.ndarray, vectors: list[dict[int, float]], n_terms: int) -> BlockMaxIndex:
         """vectors: weights by term, of unit length or empty; examples are ordered by id."""
+        return cls.of(ids, labels, [(np.array(list(v), np.int64), np.array(list(v.values()), float)) for v in vectors], n_terms)
+
+    @classmethod
+    def of(cls, ids: np.ndarray, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> BlockMaxIndex:
         order = np.argsort(ids, kind="stable")
-        ids, labels, vectors = ids[order], labels[order], [vectors[i] for i in order]
-        blocks = max(1, -(-len(ids) // BLOCK))
-        lists: list[tuple[list[int], list[float]]] = [([], []) for _ in range(n_terms)]
-        maxima = np.zeros((n_terms, blocks))
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                lists[t][0].append(i)
-                lists[t][1].append(w)
-                maxima[t, i // BLOCK] = max(maxima[t, i // BLOCK], w)
-        bounds = np.arange(blocks + 1) * BLOCK
-        return cls(ids, labels, [(np.array(d, np.int64), np.array(w), np.searchsorted(np.array(d, np.int64), bounds)) for d, w in lists], maxima)
+        term = np.concatenate([vectors[i][0] for i in order])
+        weight = np.concatenate([vectors[i][1] for i in order])
+        doc = np.repeat(np.arange(len(order), dtype=np.int32), [len(vectors[i][0]) for i in order])
+        by = np.argsort(term, kind="stable")
+        term, doc, weight = term[by], doc[by], weight[by]
+        blocks = -(-len(ids) // BLOCK)
+        key = term * blocks + doc // BLOCK
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+        top = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
+        runs = np.searchsorted(key[first] // blocks, np.arange(n_terms + 1))
+        many = np.bincount(term, minlength=n_terms) * DENSE > len(ids)
+        row = np.where(many, np.cumsum(many) - 1, -1)
+        return cls(ids[order], labels[order], doc, weight, runs, key[first] % blocks, np.append(first, len(key)), top, row)
+
+    def dense(self) -> np.ndarray:
+        """Weights of the frequent terms, rows by examples."""
+        if self._dense is None:
+            self._dense = np.zeros((int(self.row.max(initial=-1)) + 1, len(self.ids)))
+            for t in np.flatnonzero(self.row >= 0):
+                at = slice(self.run_first[self.runs[t]], self.run_first[self.runs[t + 1]])
+                self._dense[self.row[t], self.docs[at]] = self.weights[at]
+        return self._dense
+
+    def dense_scores(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the frequent terms add to the cosines, queries by examples."""
+        dense = self.dense()
+        q = np.zeros((len(queries), len(dense)))
+        for i, (t, w) in enumerate(queries):
+            row = self.row[t]
+            q[i, row[row >= 0]] = w[row >= 0]
+        return q @ dense
 
     def nearest(self, query: dict[int, float], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the k nearest examples with any common term, nearest first."""
-        at = list(query)
-        q = np.array([query[t] for t in at])
-        bound = q @ self.maxima[at]
-        best, who = np.zeros(0), np.zeros(0, np.int64)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) >= k and bound[b] < best[-1] - 1e-12):
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(at, q, strict=True):
-                docs, weights, first = self.postings[t]
-                lo, hi = first[b], first[b + 1]
-                if hi > lo:
-                    score[docs[lo:hi] - b * BLOCK] += w * weights[lo:hi]
-            hit = np.flatnonzero(score > 0)
-            best, who = np.concatenate([best, score[hit]]), np.concatenate([who, hit + b * BLOCK])
-            if without >= 0 and len(who):
-                own = who != without
-                best, who = best[own], who[own]
-            top = np.lexsort((who, -np.round(best, 12)))[:k]
-            best, who = best[top], who[top]
-        return who, np.minimum(best, 1.0)
+        terms, weights = np.array(list(query), np.int64), np.array(list(query.values()), float)
+        return self.search(terms, weights, self.dense_scores([(terms, weights)])[0], k, without)
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, dense: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """As nearest, given what the frequent terms add."""
+        n, blocks = len(self.ids), -(-len(self.ids) // BLOCK)
+        rare = self.row[terms] < 0
+        terms, weights = terms[rare], weights[rare]
+        size = self.runs[terms + 1] - self.runs[terms]
+        run, w = spans(self.runs[terms], size), np.repeat(weights, size)
+        block = self.run_block[run]
+        best = np.zeros(blocks * BLOCK)
+        best[:n] = dense
+        bound = best.reshape(blocks, BLOCK).max(1) + np.bincount(block, weights=w * self.run_max[run], minlength=blocks)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        score, opened, least = np.zeros(n), 0, 0.0
+        while opened < len(order) and bound[order[opened]] >= least - 1e-12:
+            now = order[opened : opened + max(8, opened)]
+            opened += len(now)
+            wanted = np.zeros(blocks, bool)
+            wanted[now] = True
+            of = run[wanted[block]]
+            size = self.run_first[of + 1] - self.run_first[of]
+            at = spans(self.run_first[of], size)
+            fresh = np.bincount(self.docs[at], weights=np.repeat(w[wanted[block]], size) * self.weights[at], minlength=n)
+            members = np.repeat(wanted, BLOCK)[:n]
+            score[members] = fresh[members] + dense[members]
+            if without >= 0:
+                score[without] = 0
+            if (score > 0).sum() >= k:
+                least = np.partition(score, n - k)[n - k]
+        who = np.flatnonzero((score > 0) & (score >= least - 1e-9))
+        who = who[np.lexsort((who, -np.round(score[who], 12)))[:k]]
+        return who, np.minimum(score[who], 1.0)
 
 
 @dataclass
 class Model:
-    vocabulary: dict[bytes, int]
-    idf: np.ndarray
+    vocabulary: list[bytes]
+    weight: np.ndarray  # of each term: idf and its relevance
     index: BlockMaxIndex | None
     prior: float  # the share of toxic examples, which stands in where neighbours are few
     none: float  # calibrated score without neighbours
     slope: float = 1.0
     shift: float = 0.0
 
-    def vector(self, found: list[bytes]) -> dict[int, float]:
-        tf: dict[int, int] = {}
-        for w in found:
-            t = self.vocabulary.get(w)
-            if t is not None:
-                tf[t] = tf.get(t, 0) + 1
-        v = {t: (1 + np.log(n)) * self.idf[t] for t, n in tf.items()}
-        length = np.sqrt(sum(x * x for x in v.values()))
-        return {t: x / length for t, x in v.items()} if length else {}
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        v = (1 + np.log(counts)) * self.weight[terms]
+        length = np.sqrt((v * v).sum())
+        return terms, v / length if length else v
 
     def vote(self, who: np.ndarray, cosine: np.ndarray) -> float:
         w = cosine / (1.05 - cosine)
         return float((w @ self.index.labels[who] + self.prior) / (w.sum() + 1.0))
 
-    def score(self, found: list[bytes]) -> tuple[float, list[int]]:
-        v = self.vector(found) if self.index is not None else {}
-        who, cosine = self.index.nearest(v, K) if v else (np.zeros(0, np.int64), np.zeros(0))
-        if not len(who):
-            return self.none, []
-        p = min(max(self.vote(who, cosine), 1e-6), 1 - 1e-6)
-        return float(1 / (1 + np.exp(-(self.slope * np.log(p / (1 - p)) + self.shift)))), [int(i) for i in self.index.ids[who[:5]]]
+    def scores(self, found: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int]]]:
+        """Score and evidence of texts, given the terms of each and their counts."""
+        if self.index is None:
+            return [(self.none, [])] * len(found)
+        vectors = [self.vector(*f) for f in found]
+        out = []
+        for v, dense in zip(vectors, self.index.dense_scores(vectors), strict=True):
+            who, cosine = self.index.search(*v, dense, K)
+            if not len(who):
+                out.append((self.none, []))
+                continue
+            p = min(max(self.vote(who, cosine), 1e-6), 1 - 1e-6)
+            out.append((float(1 / (1 + np.exp(-(self.slope * np.log(p / (1 - p)) + self.shift)))), [int(i) for i in self.index.ids[who[:5]]]))
+        return out
 
 
 def platt(p: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -176,28 +247,28 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _frequencies(vocabulary: list[bytes]):
-    known = Known(vocabulary)
+    """Document frequencies by term; documents under -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = dict.fromkeys(vocabulary, 0)
+        known = Terms(vocabulary)
+        df = np.zeros(len(vocabulary), np.int64)
         n = 0
         for batch in batches:
             n += batch.num_rows
             for text in batch.column(0).to_pylist():
-                for w in set(known.terms(text)):
-                    df[w] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([*df, None], pa.binary()), pa.array([*df.values(), n], pa.int64())], ["word", "n"])
+                df[known.of(text)[0]] += 1
+        hit = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(hit, -1).astype(np.int32)), pa.array(np.append(df[hit], n))], ["term", "n"])
 
     return run
 
 
 def _vectors(vocabulary: list[bytes]):
-    known = Known(vocabulary)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Terms(vocabulary)
         for batch in batches:
-            kept = [known.terms(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.list_(pa.binary()))], ["id", "toxic", "words"])
+            found = [known.of(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.astype("<i4").tobytes() for t, _ in found], pa.binary()), pa.array([c.astype("<i4").tobytes() for _, c in found], pa.binary())], ["id", "toxic", "terms", "counts"])
 
     return run
 
@@ -215,31 +286,36 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = n1 / (n0 + n1) if n0 + n1 else 0.0
     if not n0 or not n1:
         examples.unpersist()
-        return Model({}, np.zeros(0), None, share, share)
+        return Model([], np.zeros(0), None, share, share)
     counts = examples.mapInArrow(_words, "word binary, toxic int").groupBy("word").agg(F.sum("toxic").cast("double").alias("b"), F.sum(1 - F.col("toxic")).cast("double").alias("a"))
+    counts = counts.toArrow().sort_by("word")  # the terms of at most max_fit documents
+    vocabulary = counts["word"].to_pylist()
+    a, b = counts["a"].to_numpy(), counts["b"].to_numpy()
     n = float(n0 + n1)
-    a, b = F.col("a"), F.col("b")
-    chi2 = n * F.pow(a * (n1 - b) - b * (n0 - a), F.lit(2.0)) / ((a + b) * (n - a - b + 1e-9) * n0 * n1)
-    best = counts.filter(a + b >= LEAST_DF).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "word").limit(MAX_TERMS).collect()
-    vocabulary = [bytes(r["word"]) for r in best]
-    held = examples.mapInArrow(_vectors(vocabulary), "id long, toxic int, words array<binary>").collect()
+    chi2 = n * (a * (n1 - b) - b * (n0 - a)) ** 2 / ((a + b) * (n - a - b + 1e-9) * n0 * n1)
+    held = examples.mapInArrow(_vectors(vocabulary), "id long, toxic int, terms binary, counts binary").toArrow().to_pylist()
     examples.unpersist()
-    df = {None if r["word"] is None else bytes(r["word"]): r["n"] for r in texts.select("text").mapInArrow(_frequencies(vocabulary), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    idf = np.array([np.log(1 + df[None] / (1 + df.get(w, 0))) for w in vocabulary])
-    model = Model({w: i for i, w in enumerate(vocabulary)}, idf, None, share, share)
+    found = texts.select("text").mapInArrow(_frequencies(vocabulary), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, times = found["term"].to_numpy(), found["n"].to_numpy()
+    df = np.zeros(len(vocabulary))
+    df[term[term >= 0]] = times[term >= 0]
+    weight = np.log(1 + times[term < 0].sum() / (1 + df)) * (np.sqrt(chi2 / n) + 1 / n)
+    model = Model(vocabulary, weight, None, share, share)
+    held.sort(key=lambda r: r["id"])
     y = np.array([r["toxic"] for r in held], float)
-    vectors = [model.vector([bytes(w) for w in r["words"]]) for r in held]
-    model.index = index = BlockMaxIndex.build(np.array([r["id"] for r in held], np.int64), y, vectors, len(vocabulary))
-    order = np.argsort(np.array([r["id"] for r in held]), kind="stable")
+    vectors = [model.vector(np.frombuffer(r["terms"], "<i4"), np.frombuffer(r["counts"], "<i4")) for r in held]
+    model.index = index = BlockMaxIndex.of(np.array([r["id"] for r in held], np.int64), y, vectors, len(vocabulary))
     votes, truth, empty = [], [], []
-    for at, i in enumerate(order):
-        if not vectors[i]:
-            empty.append(y[i])
-            continue
-        who, cosine = index.nearest(vectors[i], K, without=at)
-        if len(who):
-            votes.append(model.vote(who, cosine))
-            truth.append(y[i])
+    for lo in range(0, len(vectors), 256):
+        for i, dense in enumerate(index.dense_scores(vectors[lo : lo + 256]), lo):
+            if not len(vectors[i][0]):
+                empty.append(y[i])
+                continue
+            who, cosine = index.search(*vectors[i], dense, K, without=i)
+            if len(who):
+                votes.append(model.vote(who, cosine))
+                truth.append(y[i])
+    index._dense = None  # workers build their own
     model.none = (sum(empty) + share) / (len(empty) + 1)
     if len(set(truth)) == 2:
         model.slope, model.shift = platt(np.array(votes), np.array(truth))
@@ -248,11 +324,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def _scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Known(list(model.vocabulary))
+        known = Terms(model.vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                got = [model.score(known.terms(t)) for t in part.column(1).to_pylist()]
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                got = model.scores([known.of(t) for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s for s, _ in got], pa.float64()), pa.array([e for _, e in got], pa.list_(pa.int64()))], ["id", "score", "evidence"])
 
     return run

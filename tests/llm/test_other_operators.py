@@ -234,6 +234,19 @@ def test_toxicity_held_out_and_odd_rows(spark):
     assert tx.score(d.limit(0), model).count() == 0
 
 
+def test_all_terms_of_few_examples_count(spark):
+    """A rare insult, and examples too few for any significance, still decide."""
+    rng = random.Random(1)
+    items = [(i, " ".join(rng.choice(["sun", "sea", "oak", "elm"]) for _ in range(6)) + (" vile" if i % 8 == 0 else ""), "s") for i in range(64)]
+    items += [(64, "sun vile sea", "s"), (65, "sun oak sea", "s")]
+    labels = spark.createDataFrame([(i, 1, int(i % 8 == 0)) for i in range(64)], "doc_id long, quality int, toxic int")
+    for few in (24, 64):
+        model = tx.train(docs(spark, items), labels.filter(F.col("doc_id") < few))
+        assert set(model.vocabulary) == {b"sun", b"sea", b"oak", b"elm", b"vile"} and (model.weight > 0).all()
+        got = {r["doc_id"]: r for r in tx.score(docs(spark, items[-2:]), model).collect()}
+        assert all(i % 8 == 0 for i in got[64]["evidence"][:3]) and got[64]["score"] > got[65]["score"]
+
+
 # --- packing ---
 
 
