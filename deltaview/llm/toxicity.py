@@ -22,6 +22,8 @@ get equal scores; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -36,7 +38,7 @@ from deltaview.session import ship
 MAX_FIT, K = 8000, 15
 BLOCK = 64
 #: A term of more than one in so many examples is a dense row of the index.
-DENSE = 16
+DENSE = 32
 #: Distinct words whose terms a worker remembers; it starts again when full.
 CACHE = 400_000
 #: Lengths of word beginnings that are terms.
@@ -123,7 +125,7 @@ class BlockMaxIndex:
         runs = np.searchsorted(key[first] // blocks, np.arange(n_terms + 1))
         many = np.bincount(term, minlength=n_terms) * DENSE > len(ids)
         row = np.where(many, np.cumsum(many) - 1, -1)
-        return cls(ids[order], labels[order], doc, weight, runs, key[first] % blocks, np.append(first, len(key)), top, row)
+        return cls(ids[order], labels[order], doc, weight, runs, (key[first] % blocks).astype(np.int32), np.append(first, len(key)).astype(np.int32), top, row)
 
     def dense(self) -> np.ndarray:
         """Weights of the frequent terms, rows by examples."""
@@ -161,22 +163,25 @@ class BlockMaxIndex:
         bound = best.reshape(blocks, BLOCK).max(1) + np.bincount(block, weights=w * self.run_max[run], minlength=blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        score, opened, least = np.zeros(n), 0, 0.0
-        while opened < len(order) and bound[order[opened]] >= least - 1e-12:
-            now = order[opened : opened + max(8, opened)]
-            opened += len(now)
+        score, least = np.zeros(n), 0.0
+        # the best blocks first, then all that could still change their k best
+        for now in (order[: max(4, blocks // 8)], order[max(4, blocks // 8) :]):
+            now = now[bound[now] >= least - 1e-12]
+            if not len(now):
+                break
             wanted = np.zeros(blocks, bool)
             wanted[now] = True
-            of = run[wanted[block]]
+            hit = np.flatnonzero(wanted[block])
+            of = run[hit]
             size = self.run_first[of + 1] - self.run_first[of]
             at = spans(self.run_first[of], size)
-            fresh = np.bincount(self.docs[at], weights=np.repeat(w[wanted[block]], size) * self.weights[at], minlength=n)
+            fresh = np.bincount(self.docs[at], weights=np.repeat(w[hit], size) * self.weights[at], minlength=n) + dense
             members = np.repeat(wanted, BLOCK)[:n]
-            score[members] = fresh[members] + dense[members]
+            score[members] = fresh[members]
             if without >= 0:
                 score[without] = 0
-            if (score > 0).sum() >= k:
-                least = np.partition(score, n - k)[n - k]
+            if n > k:
+                least = max(0.0, np.partition(score, n - k)[n - k])
         who = np.flatnonzero((score > 0) & (score >= least - 1e-9))
         who = who[np.lexsort((who, -np.round(score[who], 12)))[:k]]
         return who, np.minimum(score[who], 1.0)
@@ -191,6 +196,14 @@ class Model:
     none: float  # calibrated score without neighbours
     slope: float = 1.0
     shift: float = 0.0
+    examples: list[tuple[bytes, bytes]] | None = None  # terms and their counts
+
+    def learn(self, ids: np.ndarray, labels: np.ndarray, examples: list[tuple[bytes, bytes]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Index the examples, which are ordered by id; their vectors."""
+        self.examples = examples
+        vectors = [self.vector(np.frombuffer(t, "<i4"), np.frombuffer(c, "<i4")) for t, c in examples]
+        self.index = BlockMaxIndex.of(ids, labels, vectors, len(self.vocabulary))
+        return vectors
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         v = (1 + np.log(counts)) * self.weight[terms]
@@ -303,8 +316,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = Model(vocabulary, weight, None, share, share)
     held.sort(key=lambda r: r["id"])
     y = np.array([r["toxic"] for r in held], float)
-    vectors = [model.vector(np.frombuffer(r["terms"], "<i4"), np.frombuffer(r["counts"], "<i4")) for r in held]
-    model.index = index = BlockMaxIndex.of(np.array([r["id"] for r in held], np.int64), y, vectors, len(vocabulary))
+    vectors = model.learn(np.array([r["id"] for r in held], np.int64), y, [(r["terms"], r["counts"]) for r in held])
+    index = model.index
     votes, truth, empty = [], [], []
     for lo in range(0, len(vectors), 256):
         for i, dense in enumerate(index.dense_scores(vectors[lo : lo + 256]), lo):
@@ -315,16 +328,39 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             if len(who):
                 votes.append(model.vote(who, cosine))
                 truth.append(y[i])
-    index._dense = None  # workers build their own
     model.none = (sum(empty) + share) / (len(empty) + 1)
     if len(set(truth)) == 2:
         model.slope, model.shift = platt(np.array(votes), np.array(truth))
     return model
 
 
-def _scorer(model: Model):
+def packed(model: Model) -> bytes:
+    """The model without what its counts and weights give again."""
+    x = model.index
+    body = (b" ".join(model.vocabulary), model.weight, model.prior, model.none, model.slope, model.shift)
+    return zlib.compress(pickle.dumps((body, None if x is None else (x.ids, x.labels, model.examples))), 1)
+
+
+_models: dict[int, tuple[Terms, Model]] = {}
+
+
+def unpacked(data: bytes) -> tuple[Terms, Model]:
+    """The model and its terms; a worker keeps the last one between tasks."""
+    key = hash(data)
+    if key not in _models:
+        (vocabulary, weight, *rest), index = pickle.loads(zlib.decompress(data))
+        model = Model(vocabulary.split(), weight, None, *rest)
+        if index is not None:
+            ids, labels, examples = index
+            model.learn(ids, labels, examples)
+        _models.clear()
+        _models[key] = (Terms(model.vocabulary), model)
+    return _models[key]
+
+
+def _scorer(data: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Terms(model.vocabulary)
+        known, model = unpacked(data)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -338,4 +374,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """id, score and evidence (ids of the nearest examples, nearest first)."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_scorer(model), "id long, score double, evidence array<long>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(_scorer(packed(model)), "id long, score double, evidence array<long>").withColumnRenamed("id", id_col)
