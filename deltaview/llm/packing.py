@@ -3,7 +3,8 @@
 Documents become token ids and end with the separator id. A document longer than a sequence is cut
 into full sequences and a remainder. Only the histogram of piece lengths (at most ``limit`` rows)
 reaches the driver, where lengths are placed longest first into the open pack that is shortest
-among those with room; packs alike are counted, not listed. Pieces then find their place by rank
+among those with room, and the rest open as few packs as hold them; packs alike are counted, not
+listed. Pieces then find their place by rank
 among the pieces of their length: ranks come from counts by (length, bucket), so a length that a
 third of all pieces share is spread over all buckets.
 
@@ -159,9 +160,11 @@ def shortest_pack_first(histogram: dict[int, int], limit: int = LIMIT) -> list[t
     room: dict[int, dict[tuple[int, ...], int]] = defaultdict(lambda: defaultdict(int))
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
-        # the shortest open packs are those with most room
-        for space in sorted((s for s in room if s >= length), reverse=True):
-            for pattern in sorted(room[space]):
+        # the shortest open packs are those with most room; what a piece leaves of it comes up again further down
+        for space in range(limit, length - 1, -1):
+            if not left:
+                break
+            for pattern in sorted(room.get(space, ())):
                 if not left:
                     break
                 take = min(left, room[space][pattern])
@@ -170,10 +173,12 @@ def shortest_pack_first(histogram: dict[int, int], limit: int = LIMIT) -> list[t
                 if not room[space][pattern]:
                     del room[space][pattern]
                 room[space - length][(*pattern, length)] += take
-            if not left:
-                break
-        if left:
-            room[limit - length][(length,)] += left
+        # new packs hold as many of the length as fit
+        fit = limit // length
+        if left >= fit:
+            room[limit - fit * length][(length,) * fit] += left // fit
+        if left % fit:
+            room[limit - left % fit * length][(length,) * (left % fit)] += 1
         room = defaultdict(lambda: defaultdict(int), {s: p for s, p in room.items() if p})
     return sorted((p, n) for packs in room.values() for p, n in packs.items())
 

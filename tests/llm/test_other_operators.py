@@ -268,6 +268,17 @@ def test_spfhp_keeps_every_piece_and_pads_little():
     assert pk.shortest_pack_first({}) == [] and pk.padding(512) == 0 and pk.padding(1000) == 24
 
 
+def test_spfhp_puts_pieces_of_a_dominant_length_together():
+    for histogram, packs in (({300: 3000}, 1000), ({300: 10}, 4), ({600: 10, 300: 40}, 20), ({400: 4, 100: 4}, 2), ({1: 2048}, 2), ({1024: 3, 512: 3}, 5), ({700: 5, 300: 900}, 304)):
+        patterns = pk.shortest_pack_first(histogram)
+        used = {}
+        for p, n in patterns:
+            assert sum(p) <= 1024 and list(p) == sorted(p, reverse=True)
+            for x in p:
+                used[x] = used.get(x, 0) + n
+        assert used == histogram and sum(n for _, n in patterns) == packs
+
+
 def test_pack_places_all_ids(spark):
     rng = random.Random(2)
     texts = [None, "", "a<|endoftext|>b", "it's  two", "tab\tand\nline ", "日本 語 é", "word, word. " * 900] + [" ".join(rng.choice(["alpha", "Beta,", "don't", "x1"]) for _ in range(rng.randrange(1, 900))) for _ in range(40)]
