@@ -38,9 +38,9 @@ from deltaview.session import ship
 MAX_FIT, K = 8000, 15
 BLOCK = 64
 #: A term of more than one in so many examples is a dense row of the index.
-DENSE = 32
+DENSE = 16
 #: Distinct words whose terms a worker remembers; it starts again when full.
-CACHE = 400_000
+CACHE = 200_000
 #: Lengths of word beginnings that are terms.
 HEADS = (4, 5, 6, 7)
 THRESHOLD = 0.3
@@ -348,12 +348,13 @@ def unpacked(data: bytes) -> tuple[Terms, Model]:
     """The model and its terms; a worker keeps the last one between tasks."""
     key = hash(data)
     if key not in _models:
+        _models.clear()  # before the next one takes its memory
         (vocabulary, weight, *rest), index = pickle.loads(zlib.decompress(data))
         model = Model(vocabulary.split(), weight, None, *rest)
         if index is not None:
             ids, labels, examples = index
             model.learn(ids, labels, examples)
-        _models.clear()
+            model.examples = None
         _models[key] = (Terms(model.vocabulary), model)
     return _models[key]
 
