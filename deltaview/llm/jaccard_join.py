@@ -12,16 +12,21 @@ both sets; hence each set indexes H + 1 segments only and skips its costly ones.
 small that segments would be single shingles, a band has half as many segments and indexes each
 with its one-deletion neighbourhood, as one agreement up to one shingle then covers two differences.
 
-Candidates of a segment are not paired with one another in rows: each is checked against the
-smallest one, the list's centre c, by comparing whole sets, and links become components. Where the
-sets of a centre lie in several components, those left are compared with one another by what they
-differ from c in: |X xor Y| = |(X xor c) xor (Y xor c)|, so the shingles of c that each lacks (bits)
-and those it has besides (hashes) give the exact similarity. A task holds two blocks of such
-differences and reports links that join components, never all pairs. Equal sets are one node.
+Candidates of a segment are not paired with one another in rows: each meets the smallest one, the
+list's centre c. A sketch goes before every text: the parities of the shingles that fall into each
+of about as many buckets as the set has shingles. Sets that differ in d shingles differ in at most
+d parities, so a pair with more of them cannot link, and none is lost by it. Pairs that pass are
+checked by their whole sets, and links become components. Where the sets of a centre lie in several
+components, those left are compared with one another, by sketches first; what may link across
+components is compared by what it differs from c in: |X xor Y| = |(X xor c) xor (Y xor c)|, so the
+shingles of c that each lacks (bits) and those it has besides (hashes) give the exact similarity. A
+task holds two blocks of members and reports which may link, or links that join components, never
+all pairs. Equal sets are one node.
 
 Sets are named by a 64-bit digest. Defined results: null, empty and blank texts have the empty set,
 which links with nothing; shorter texts than a shingle are one shingle; repeated rows are equal sets;
-an empty table gives an empty result; other columns are ignored.
+a null id is no component's smallest id unless all its ids are null; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deltaview.llm._components import components
+from deltaview.llm._rows import fetch, marked, text_key, without
 from deltaview.llm._store import Scratch, partitions
 
 WORDS, SIMILARITY = 5, 75
@@ -79,6 +85,26 @@ def linked(x: np.ndarray, y: np.ndarray, similarity: int = SIMILARITY) -> bool:
     return both > 0 and 100 * both >= similarity * (len(x) + len(y) - both)
 
 
+def sketch(x: np.ndarray) -> bytes:
+    """Parities of the shingles in 64 * 2^k buckets, at least as many as shingles, as bits."""
+    n = max(64, 1 << max(0, len(x) - 1).bit_length())
+    odd = np.bincount((mixed(x ^ _P[3]) & _U(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (rows of bytes) as they are with fewer buckets, ``width`` bytes of them."""
+    return bits if bits.shape[1] == width else np.bitwise_xor.reduce(bits.reshape(len(bits), -1, width), axis=1)
+
+
+def may_link(n_x: np.ndarray, x: np.ndarray, n_y: np.ndarray, y: np.ndarray, similarity: int) -> np.ndarray:
+    """False where sets of these sizes and sketches (rows of bytes) cannot link."""
+    width = min(x.shape[1], y.shape[1])
+    d = np.bitwise_count(folded(x, width) ^ folded(y, width)).sum(1, dtype=np.int64)
+    small, large = np.minimum(n_x, n_y), np.maximum(n_x, n_y)
+    return (100 * small >= similarity * large) & (d * (100 + similarity) <= (100 - similarity) * (small + large))
+
+
 class Bands:
     """Segments and indexed share of each size band."""
 
@@ -147,8 +173,11 @@ def signatures(x: np.ndarray, frequent: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+DESCRIBED = ["id", "key", "n", "name", "sketch", "often"]
+
+
 def _describe(words: int):
-    """Per text: its set's size and name; besides, shingles that are frequent among GROUP texts."""
+    """id, key, text -> size, name and sketch of its set; besides, shingles that are frequent among GROUP texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[np.ndarray] = []
@@ -157,21 +186,22 @@ def _describe(words: int):
             v, c = np.unique(np.concatenate(arrays), return_counts=True) if arrays else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             v, c = v[c >= OFTEN], c[c >= OFTEN]
             k = len(v)
-            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(c), pa.array(v.view(np.int64)), pa.array(np.ones(k, bool))], ["id", "n", "name", "often"])
+            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(c), pa.array(v.view(np.int64)), pa.nulls(k, pa.binary()), pa.array(np.ones(k, bool))], DESCRIBED)
 
         held: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sizes, names = [], []
-                for text in part.column(1).to_pylist():
+                sizes, names, bits = [], [], []
+                for text in part.column(2).to_pylist():
                     x = shingle_set(text, words)
                     sizes.append(len(x))
                     names.append(name := set_name(x))
+                    bits.append(sketch(x))
                     if name not in held:  # equal sets count once
                         held.add(name)
                         seen.append(x)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(np.zeros(len(part), bool))], ["id", "n", "name", "often"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(bits, pa.binary()), pa.array(np.zeros(len(part), bool))], DESCRIBED)
                 if len(seen) >= GROUP:
                     yield often(seen)
                     seen, held = [], set()
@@ -189,35 +219,33 @@ def _index(frequent: bytes, words: int, similarity: int, parts: int):
         held: set[int] = set()
         sigs: list[np.ndarray] = []
         owners: list[int] = []
-        sizes: list[int] = []
         count = 0
 
         def flush() -> pa.RecordBatch:
             s = np.concatenate(sigs)
             n = [len(x) for x in sigs]
-            o, z = np.repeat(np.array(owners, np.int64), n), np.repeat(np.array(sizes, np.uint32), n)
+            o = np.repeat(np.array(owners, np.int64), n)
             to = ((s >> _U(32)) * _U(parts)) >> _U(32)
             order = np.argsort(to, kind="stable")
-            s, o, z = s[order], o[order], z[order]
+            s, o = s[order], o[order]
             at = np.r_[np.searchsorted(to[order], np.arange(parts, dtype=np.uint64)), len(s)]
             full = [i for i in range(parts) if at[i + 1] > at[i]]
             cut = lambda c: pa.array([c[at[i] : at[i + 1]].tobytes() for i in full], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), cut(s), cut(o), cut(z)], ["part", "sigs", "owners", "sizes"])
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), cut(s), cut(o)], ["part", "sigs", "owners"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                for text in batch.column(1).slice(at, 512).to_pylist():
+                for text in batch.column(0).slice(at, 512).to_pylist():
                     x = shingle_set(text, words)
                     if not len(x) or (name := set_name(x)) in held:
                         continue
                     held.add(name)
                     sigs.append(np.unique(signatures(x, often, bands)))
                     owners.append(name)
-                    sizes.append(len(x))
                     count += len(sigs[-1])
                     if count > 1 << 20:
                         yield flush()
-                        sigs, owners, sizes, count = [], [], [], 0
+                        sigs, owners, count = [], [], 0
         if sigs:
             yield flush()
 
@@ -225,49 +253,97 @@ def _index(frequent: bytes, words: int, similarity: int, parts: int):
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of two or more sets that share a signature, each distinct list of a task once."""
-    got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    """Of each list of two or more sets that share a signature, its first member (the centre) with each other one."""
+    got: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
-        for s, o, z in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
-            got.append((np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(o.as_buffer(), np.int64), np.frombuffer(z.as_buffer(), np.uint32)))
+        for s, o in zip(batch.column(1), batch.column(2), strict=True):
+            got.append((np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(o.as_buffer(), np.int64)))
     if not got:
         return
-    s, o, z = (np.concatenate([g[i] for g in got]) for i in range(3))
+    s, o = (np.concatenate([g[i] for g in got]) for i in range(2))
     del got
     order = np.lexsort((o, s))
-    s, o, z = s[order], o[order], z[order]
-    new = np.r_[True, (s[1:] != s[:-1]) | (o[1:] != o[:-1])]
-    s, o, z = s[new], o[new], z[new]
-    starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-    ends = np.r_[starts[1:], len(s)]
-    many = ends - starts > 1
-    starts, ends = starts[many], ends[many]
-    if not len(starts):
+    s, o = s[order], o[order]
+    first = np.r_[True, s[1:] != s[:-1]]
+    centre = o[np.maximum.accumulate(np.where(first, np.arange(len(s)), 0))]
+    other = centre != o
+    if not other.any():
         return
-    # the sum of scrambled owners names a list
-    names = np.add.reduceat(np.r_[mixed(o.view(np.uint64)), _U(0)], np.c_[starts, ends].ravel())[::2]
-    _, first = np.unique(names, return_index=True)
-    names, starts, ends = names[first], starts[first], ends[first]
-    for at in range(0, len(starts), 4096):
-        a, b = starts[at : at + 4096], ends[at : at + 4096]
-        pick = np.concatenate([np.arange(i, j) for i, j in zip(a, b, strict=True)])
-        offsets = pa.array(np.r_[0, np.cumsum(b - a)], pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names[at : at + 4096].view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(o[pick])), pa.ListArray.from_arrays(offsets, pa.array(z[pick].astype(np.int32)))],
-            ["list", "owners", "sizes"],
-        )
-
-
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each list's first member, its centre, with each of the others."""
-    for batch in batches:
-        o = batch.column(1)
-        off = np.asarray(o.offsets)
-        flat = np.asarray(o.flatten())
-        off = off - off[0]
-        a = np.repeat(flat[off[:-1]], np.diff(off))
-        pairs = np.unique(np.c_[a[a != flat], flat[a != flat]], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+    a, b = centre[other], o[other]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+    a, b = a[new], b[new]
+    for at in range(0, len(a), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(a[at : at + (1 << 16)]), pa.array(b[at : at + (1 << 16)])], ["a", "b"])
+
+
+def _rows_of(column: pa.Array, at: np.ndarray) -> np.ndarray:
+    """Sketches of equal length, as rows of bytes."""
+    return np.frombuffer(b"".join(column.take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1)
+
+
+def _sift(similarity: int):
+    """a, b, n_a, sketch_a, n_b, sketch_b -> a, b, n_b and whether the two may link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = np.asarray(batch.column(2)), np.asarray(batch.column(4))
+            width = [np.array([len(x) for x in batch.column(i).to_pylist()], np.int64) for i in (3, 5)]
+            near = np.zeros(batch.num_rows, bool)
+            kind = width[0] * (1 << 32) + width[1]
+            for k in np.unique(kind):
+                at = np.flatnonzero(kind == k)
+                near[at] = may_link(n_a[at], _rows_of(batch.column(3), at), n_b[at], _rows_of(batch.column(5), at), similarity)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array(near)], ["a", "b", "n_b", "near"])
+
+    return run
+
+
+def _active(similarity: int):
+    """Rows sorted by (centre, block pair): a, x, y, side, node, label, n, sketch -> members that may link with one of another label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settle(key: tuple, held: list[tuple]) -> pa.RecordBatch:
+            own = key[1] == key[2]
+            sides = [[r for r in held if r[0] == s] for s in dict.fromkeys(key[1:])]
+            found: set[int] = set()
+            if all(sides) and (len(sides) == 2 or own):
+                for left in _by_width(sides[0]):
+                    for right in _by_width(sides[-1]):
+                        for i in range(len(left[0])):
+                            other = np.flatnonzero(right[1] != left[1][i])
+                            if len(other):
+                                one = np.broadcast_to(left[3][i], (len(other), left[3].shape[1]))
+                                hit = other[may_link(np.full(len(other), left[2][i]), one, right[2][other], right[3][other], similarity)]
+                                if len(hit):
+                                    found.add(int(left[0][i]))
+                                    found.update(right[0][hit].tolist())
+            out = sorted(found)
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(out), pa.int64()), pa.array(out, pa.int64())], ["a", "member"])
+
+        key, held = None, []
+        for batch in batches:
+            for a, x, y, *row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+                if (a, x, y) != key:
+                    if key is not None:
+                        yield settle(key, held)
+                    key, held = (a, x, y), []
+                held.append(tuple(row))
+        if key is not None:
+            yield settle(key, held)
+
+    return run
+
+
+def _by_width(rows: list[tuple]) -> list[tuple[np.ndarray, ...]]:
+    """rows: side, node, label, n, sketch -> for each length of sketch the nodes, labels, sizes and sketches."""
+    out = []
+    for width in sorted({len(r[4]) for r in rows}):
+        part = [r for r in rows if len(r[4]) == width]
+        bits = np.frombuffer(b"".join(r[4] for r in part), np.uint8).reshape(len(part), width)
+        out.append((*(np.array([r[i] for r in part], np.int64) for i in (1, 2, 3)), bits))
+    return out
 
 
 CHECKED = "a long, b long, linked boolean, n_b int"
@@ -420,55 +496,92 @@ def _compare(words: int, similarity: int):
     return run
 
 
-#: Sets of a centre, and their shingles, whose differences one task compares with as many others.
-BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
+#: Members of a centre that one task compares with as many others, by sketches and by whole sets; shingles of the latter.
+SKETCHES, BLOCK, BLOCK_SHINGLES = 1024, 512, 1 << 20
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (the smallest id reachable by links)."""
+def _block_pairs(members: DataFrame, counts: DataFrame) -> DataFrame:
+    """members: a, member, ...; counts: c, blocks. Each member once for each block that its own one meets, itself included."""
+    dealt = members.join(counts, F.col("a") == F.col("c")).withColumn("side", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumns({"x": F.least("side", "other"), "y": F.greatest("side", "other")}).drop("c", "blocks", "other")
+
+
+def _classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, words: int, similarity: int) -> DataFrame:
+    """One row per input row: id, key (of its text), n, label (a name of its component; null for the empty set)."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    described = scratch.save(rows.mapInArrow(_describe(words), "id long, n long, name long, often boolean"), "described")
-    sets = described.filter("NOT often").select("id", "n", "name")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    described = scratch.save(rows.mapInArrow(_describe(words), "id long, key long, n long, name long, sketch binary, often boolean"), "described")
     often = described.filter("often").groupBy("name").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "name").limit(FREQUENT).collect()
     frequent = np.sort(np.array([r["name"] for r in often], np.int64).view(np.uint64)).tobytes()
+    described = described.filter("NOT often")
     parts = 4 * partitions(spark)
-    blobs = rows.mapInArrow(_index(frequent, words, similarity, parts), "part int, sigs binary, owners binary, sizes binary")
-    lists = blobs.repartition(partitions(spark), "part").mapInArrow(_lists, "list long, owners array<long>, sizes array<int>")
-    lists = scratch.save(lists, "lists")
-    pairs = scratch.save(lists.mapInArrow(_stars, "a long, b long").distinct(), "stars")
-    # whole texts of the sets in question, one document for each set
-    reps = sets.groupBy("name").agg(F.min("id").alias("rep"))
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    asked = scratch.save(reps.join(nodes, F.col("name") == F.col("node")).select("node", "rep"), "nodes")
-    texts = scratch.save(rows.join(asked, F.col("id") == F.col("rep")).select("node", "text"), "texts")
-    checked = check_pairs(pairs, texts, scratch, "star", words, similarity)
-    links = checked.filter("linked").select("a", "b")
+    blobs = rows.select("text").mapInArrow(_index(frequent, words, similarity, parts), "part int, sigs binary, owners binary")
+    pairs = blobs.repartition(partitions(spark), "part").mapInArrow(_lists, "a long, b long")
+    pairs = scratch.save(pairs, "lists").distinct()
+    pairs = scratch.save(pairs, "stars")
+    # of each set in question one row stands for all
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    about = marked(described, [F.col("name")], asked, "hit").filter("hit").groupBy("name").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    about = scratch.save(about.join(asked, F.col("name") == F.col("node")).select("node", "rep.id", "rep.key", "n", "sketch"), "nodes")
+    side = lambda c: about.select(F.col("node").alias(f"node_{c}"), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    met = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b")).select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b")
+    met = scratch.save(met.mapInArrow(_sift(similarity), "a long, b long, n_b long, near boolean"), "met")
+    near = met.filter("near").select("a", "b")
+    texts = _texts(rows, about, near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct(), scratch, "texts-1")
+    links = check_pairs(near, texts, scratch, "star", words, similarity).filter("linked").select("a", "b")
     label = scratch.save(components(links, scratch, "cc1"), "cc1-labels")
     # centres whose sets lie in several components
-    labelled = checked.join(label, F.col("b") == F.col("node"), "left").select("a", "b", "n_b", F.coalesce("component", "b").alias("label"))
+    labelled = met.join(label, F.col("b") == F.col("node"), "left").select("a", F.col("b").alias("member"), F.col("n_b").alias("n"), F.coalesce("component", "b").alias("label"))
     labelled = scratch.save(labelled, "labelled")
-    torn = labelled.groupBy("a").agg(F.min("label").alias("u"), F.max("label").alias("v"), F.count(F.lit(1)).alias("k"), F.sum("n_b").alias("n")).filter("u <> v")
-    torn = scratch.save(torn.select(F.col("a").alias("c"), F.ceil(F.greatest(F.col("k") / BLOCK, F.col("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "torn")
-    dealt = labelled.join(torn, F.col("a") == F.col("c")).withColumn("side", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("a", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", F.col("b").alias("member"), "label")
-    heads = torn.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("y", F.explode(F.sequence(F.col("x"), F.col("blocks") - 1)))
+    torn = labelled.groupBy("a").agg(F.min("label").alias("u"), F.max("label").alias("v"), F.count(F.lit(1)).alias("k")).filter("u <> v")
+    torn = scratch.save(torn.select(F.col("a").alias("c"), F.ceil(F.col("k") / SKETCHES).cast("int").alias("blocks")), "torn")
+    dealt = scratch.save(_block_pairs(labelled, torn), "sketched")
+    known = about.select(F.col("node").alias("known"), "sketch")
+    dealt = dealt.join(known, F.col("member") == F.col("known")).select("a", "x", "y", "side", F.col("member").alias("node"), "label", "n", "sketch")
+    dealt = dealt.repartition(partitions(spark), "a", "x", "y").sortWithinPartitions("a", "x", "y")
+    active = scratch.save(dealt.mapInArrow(_active(similarity), "a long, member long").distinct(), "active")
+    on = active.select(F.col("a").alias("on_a"), F.col("member").alias("on_b"))
+    left = scratch.save(labelled.join(on, (F.col("a") == F.col("on_a")) & (F.col("member") == F.col("on_b"))).select("a", "member", "n", "label"), "left")
+    counts = left.groupBy(F.col("a").alias("c")).agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    counts = scratch.save(counts, "counts")
+    dealt = _block_pairs(left, counts).select("a", "x", "y", "side", "member", "label")
+    heads = counts.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("y", F.explode(F.sequence(F.col("x"), F.col("blocks") - 1)))
     heads = heads.select(F.col("c").alias("a"), "x", "y", F.lit(-1).alias("side"), F.col("c").alias("member"), F.col("c").alias("label"))
     dealt = scratch.save(dealt.unionByName(heads), "dealt")
+    texts = _texts(rows, about, dealt.select(F.col("member").alias("node")).distinct(), scratch, "texts-2")
     full = dealt.join(texts, F.col("member") == F.col("node")).select("a", "x", "y", "side", "node", "label", "text")
     full = full.repartition(partitions(spark), "a", "x", "y").sortWithinPartitions("a", "x", "y", "side")
     links = links.unionByName(scratch.save(full.mapInArrow(_compare(words, similarity), "a long, b long"), "joining"))
     label = scratch.save(components(links, scratch, "cc2"), "labels")
-    named = sets.join(label, F.col("name") == F.col("node"), "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("component", "name")).alias("label"))
-    named = scratch.save(named, "named")
+    named = described.select("id", "key", "n", "name").join(label, F.col("name") == F.col("node"), "left")
+    return scratch.save(named.select("id", "key", "n", F.when(F.col("n") > 0, F.coalesce("component", "name")).alias("label")), "named")
+
+
+def _texts(rows: DataFrame, about: DataFrame, wanted: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """node, text of the wanted nodes."""
+    asked = scratch.save(about.join(wanted, "node", "left_semi").select("node", "id", "key"), f"{name}-asked")
+    return scratch.save(fetch(rows, asked), name)
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id (the smallest id reachable by links)."""
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    named = _classes(docs, scratch, id_col, text_col, words, similarity)
     least = scratch.save(named.filter("label IS NOT NULL").groupBy(F.col("label").alias("l")).agg(F.min("id").alias("least")), "least")
     out = named.join(least, F.col("label") == F.col("l"), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stand for their component, with their columns."""
-    keep = jaccard_join(docs, id_col, text_col).filter(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(keep, F.col(id_col) == F.col("_kept_id"), "left_semi")
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
+    """The rows of docs that stand for their component, with their columns.
+
+    Defined results: the row with the smallest id stays, a null id after all others; rows that repeat
+    id and text stay or go together; texts without words all stay; column names may be any.
+    """
+    scratch = Scratch(docs.sparkSession, "one-of-each")
+    named = _classes(docs, scratch, id_col, text_col, words, similarity).filter("label IS NOT NULL")
+    order = F.struct(F.col("id").isNull(), "id", "key")
+    first = scratch.save(named.groupBy(F.col("label").alias("l")).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("members")).filter("members > 1"), "firsts")
+    drop = named.join(first, F.col("label") == F.col("l")).filter(order != F.col("first")).select("id", "key").distinct()
+    return without(docs, scratch.save(drop, "drop"), id_col, text_col)

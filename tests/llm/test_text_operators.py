@@ -285,3 +285,25 @@ def test_lm_learns_and_stays_normalised():
     p = np.exp(table_[3, one, w])
     assert np.log(p).mean() > np.log(1 / 20) + 1, "better than the unigram"
     assert np.allclose(lm.train(np.zeros(0, np.int64), np.zeros(0)), -np.log(lm.SIZE))
+
+
+def test_sketches_lose_no_link():
+    rng = random.Random(9)
+    for _ in range(3000):
+        x = np.unique(np.array([rng.getrandbits(64) for _ in range(rng.choice([1, 2, 4, 20, 64, 65, 130, 300]))], np.uint64))
+        kept = [v for v in x.tolist() if rng.random() > 0.12]
+        y = np.unique(np.array(kept + [rng.getrandbits(64) for _ in range(rng.randrange(1 + len(x) // 6))] or [1], np.uint64))
+        sx, sy = (np.frombuffer(jj.sketch(v), np.uint8)[None] for v in (x, y))
+        may = jj.may_link(np.array([len(x)]), sx, np.array([len(y)]), sy, 75)[0]
+        assert may or not jj.linked(x, y)
+
+
+def test_one_of_each_with_null_ids_and_clashing_columns(spark):
+    long = " ".join(f"t{i}" for i in range(60))
+    data = [(None, long + " a"), (4, long + " b"), (3, long + " c"), (None, "p q r s t u"), (None, "p q r s t u v w x"), (None, None), (8, "")]
+    d = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in data], "doc_id long, text string, own_key int, hit int, `gone.id` int")
+    kept = jj.one_of_each(d)
+    assert kept.columns == d.columns
+    got = sorted([(r["doc_id"], r["text"]) for r in kept.collect()], key=str)
+    assert got == sorted([(3, long + " c"), (None, "p q r s t u"), (None, "p q r s t u v w x"), (None, None), (8, "")], key=str)
+    assert jj.one_of_each(d.limit(0)).count() == 0
