@@ -54,6 +54,15 @@ def fetch(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return one.join(asked, F.col("id").eqNullSafe(F.col("want_id")) & (F.col("key") == F.col("want_key"))).select("node", "text")
 
 
+def without_texts(docs: DataFrame, drop: DataFrame, text_col: str) -> DataFrame:
+    """docs without the rows whose text's key is in drop (key)."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    key, hit, gone = fresh(docs.columns, "own_key", "hit", "gone_key")
+    tested = marked(docs.withColumn(key, text_key(F.col(f"`{text_col}`"))), [F.col(key)], drop.select("key"), hit)
+    left = tested.filter(F.col(hit)).join(drop.select(F.col("key").alias(gone)), F.col(key) == F.col(gone), "left_anti")
+    return tested.filter(~F.col(hit)).select(*columns).unionByName(left.select(*columns))
+
+
 def without(docs: DataFrame, drop: DataFrame, id_col: str, text_col: str, again: DataFrame | None = None) -> DataFrame:
     """docs without the rows in drop (id, key); of each repeated row in again (id, key) one stays."""
     columns = [F.col(f"`{c}`") for c in docs.columns]

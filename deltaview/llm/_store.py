@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -12,20 +14,32 @@ from pyspark.sql import DataFrame, SparkSession
 from deltaview.session import ship
 
 _LOCAL: str | None = None
+_ROOTS: list[tuple] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir. Only a local master may do without: there all tasks share this machine."""
     global _LOCAL
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _LOCAL is None:
         _LOCAL = tempfile.mkdtemp(prefix="deltaview-")
         atexit.register(shutil.rmtree, _LOCAL, ignore_errors=True)
     return "file://" + _LOCAL
 
 
+@atexit.register
+def _clean() -> None:
+    """Results are read lazily, so tables of an application go when it ends."""
+    for spark, root in _ROOTS:
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            path = spark._jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+
+
 class Scratch:
     """Named Parquet tables of one run. A table survives the loss of any executor."""
 
@@ -33,6 +47,7 @@ class Scratch:
         self.spark = spark
         ship(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        _ROOTS.append((spark, self.root))
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
