@@ -512,8 +512,7 @@ def _classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, word
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     described = scratch.save(rows.mapInArrow(_describe(words), "id long, key long, n long, name long, sketch binary, often boolean"), "described")
-    often = described.filter("often").groupBy("name").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "name").limit(FREQUENT).collect()
-    frequent = np.sort(np.array([r["name"] for r in often], np.int64).view(np.uint64)).tobytes()
+    frequent = _frequent(described.filter("often").groupBy("name").agg(F.sum("n").alias("n")))
     described = described.filter("NOT often")
     parts = 4 * partitions(spark)
     blobs = rows.select("text").mapInArrow(_index(frequent, words, similarity, parts), "part int, sigs binary, owners binary")
@@ -558,6 +557,19 @@ def _classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, word
     return scratch.save(named.select("id", "key", "n", F.when(F.col("n") > 0, F.coalesce("component", "name")).alias("label")), "named")
 
 
+def _frequent(counts: DataFrame) -> bytes:
+    """Names of the most frequent shingles, FREQUENT of them at most: the uppermost bins of counts that fit."""
+    binned = counts.withColumn("bin", F.floor(16 * F.log2("n")).cast("int"))
+    held, least = 0, None
+    for r in sorted(binned.groupBy("bin").agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r["bin"]):  # at most 16 bins a doubling
+        if held + r["k"] > FREQUENT:
+            break
+        held, least = held + r["k"], r["bin"]
+    if least is None:
+        return b""
+    return np.sort(binned.filter(F.col("bin") >= least).select("name").toArrow()["name"].to_numpy().view(np.uint64)).tobytes()
+
+
 def _texts(rows: DataFrame, about: DataFrame, wanted: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """node, text of the wanted nodes."""
     asked = scratch.save(about.join(wanted, "node", "left_semi").select("node", "id", "key"), f"{name}-asked")
