@@ -151,6 +151,32 @@ def test_index_recall_against_brute_force():
     assert np.mean([bool(names[a] & names[b]) for a, b in zip(i, j, strict=True)]) >= 0.9
 
 
+def test_recall_near_the_threshold_on_isotropic_pairs():
+    """Pairs at the threshold in no cluster at all, with as many pivots as a small and a large table get."""
+    rng = np.random.default_rng(2)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert ed.pivots_for(1000) == ed.PIVOTS and ed.pivots_for(10**9) == ed.MOST_PIVOTS
+    for d in (16, 64, 256):
+        for n in (ed.PIVOTS, ed.MOST_PIVOTS):
+            pivots = unit(rng.normal(size=(n, d)))
+            x = unit(rng.normal(size=(2000, d)))
+            z = rng.normal(size=(2000, d))
+            z = unit(z - (z * x).sum(1, keepdims=True) * x)
+            for cosine in (0.932, 0.95):
+                y = cosine * x + np.sqrt(1 - cosine**2) * z
+                a, b = (ed.list_names(np.argsort(-(v @ pivots.T), axis=1)[:, : ed.PREFIX], np.zeros(2000, np.int64)) for v in (x, y))
+                assert np.mean([bool(set(p) & set(q)) for p, q in zip(a.tolist(), b.tolist(), strict=True)]) >= 0.95
+
+
+def test_exact_mode_and_null_ids(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=16)
+    items = [(None if i < 3 else i, [float(np.float32(x)) for x in base + rng.normal(scale=0.1 if i < 8 else 3, size=16)], 0, 1, "u", 1) for i in range(16)]
+    d = spark.createDataFrame(items, VECTORS)
+    found, every = (sorted((tuple(r) for r in ed.near_vectors(d, exact=e).collect()), key=str) for e in (False, True))
+    assert found == every and sum(r[2] == 3 for r in every) == 8, "three null ids belong to the smallest id of their component"
+
+
 # --- quality ---
 
 
