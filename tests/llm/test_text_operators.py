@@ -279,12 +279,40 @@ def test_lm_learns_and_stays_normalised():
     # w follows w-1 as (w-1 + 1) mod 20 nearly always
     one = rng.integers(0, 20, 5000)
     w = np.where(rng.random(5000) < 0.9, (one + 1) % 20, rng.integers(0, 20, 5000))
-    cells, counts = np.unique((np.full(5000, 3) * lm.SIZE + one) * lm.SIZE + w, return_counts=True)
-    table_ = lm.train(cells.astype(np.int64), counts.astype(float))
-    assert np.allclose(np.exp(table_.astype(float)).sum(2), 1, atol=1e-4)
-    p = np.exp(table_[3, one, w])
-    assert np.log(p).mean() > np.log(1 / 20) + 1, "better than the unigram"
-    assert np.allclose(lm.train(np.zeros(0, np.int64), np.zeros(0)), -np.log(lm.SIZE))
+    two = np.full(5000, 3)
+    unigram = np.bincount(w, minlength=22) + 0.5
+    model = lm.LogBilinear.start(unigram / unigram.sum())
+    lm.Trainer(model, unigram).learn(one, two, w, passes=60)
+    norm = model.log_normaliser(np.arange(22))
+    every = [model.scores(np.full(22, a), np.full(22, 3), np.arange(22)) - norm[a, 3] for a in range(22)]
+    assert np.allclose(np.exp(every).sum(1), 1, atol=1e-4)
+    p = model.scores(one, two, w) - norm[one, two]
+    assert p.mean() > np.log(1 / 20) + 1, "better than the unigram"
+
+
+def test_lm_averages_tasks_by_row():
+    change = lambda rows, weight, x: ("q", 0, np.array(rows, "<i4").tobytes(), np.array(weight, np.float32).tobytes(), np.array(x, "<f2").tobytes())
+    rows = [change([0, 2], [1, 5], [[1, 1], [2, 2]]), change([0], [3], [[5, 9]])]
+    batch = lm.pa.RecordBatch.from_arrays([lm.pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (lm.pa.string(), lm.pa.int32(), *[lm.pa.binary()] * 3), strict=True)], ["part", "block", "rows", "weights", "change"])
+    (out,) = [b.to_pylist()[0] for b in lm._average(iter([batch]))]
+    assert np.frombuffer(out["rows"], "<i4").tolist() == [0, 2], "a row that one task met keeps its whole change"
+    assert np.frombuffer(out["change"], "<f2").tolist() == [4, 7, 2, 2]
+
+
+def test_lm_beats_the_unigram_on_held_out_texts(spark):
+    rng = random.Random(2)
+    nxt = {w: rng.sample(WORDS, 2) for w in WORDS}
+
+    def chain():
+        w, out = rng.choice(WORDS), []
+        for _ in range(80):
+            w = rng.choice(nxt[w])
+            out.append(w)
+        return " ".join(out)
+
+    got = lm.lm_scores(table(spark, [chain() for _ in range(300)], range(300))).filter("held_out").collect()
+    gain = sum(r["score"] - r["base_score"] for r in got) / sum(r["n_tokens"] for r in got)
+    assert gain > 0.5, "of log10(60 / 2) = 1.48 a token"
 
 
 def test_sketches_lose_no_link():
