@@ -3,8 +3,10 @@
 A byte goes if a string of ``length`` bytes that covers it starts at two or more places.
 
 1. Anchors. Of every window of ``length`` bytes the k-gram with the least hash is its anchor; equal
-   windows have equal anchors at equal places. Windows in a row with one anchor form a region. Only
-   the hashes of anchor and region move, dealt by anchor. A region that occurs twice as a whole is
+   windows have equal anchors at equal places. A window holds half of its other bytes either before
+   its anchor or after it, and the anchor counts together with these bytes, so that a common line
+   shorter than that gathers no regions. Windows in a row with one anchor form a region. Only the
+   hashes of anchor and region move, dealt by anchor. A region that occurs twice as a whole is
    repeated throughout, and an anchor that occurs once has no repeated window.
 2. Index. What is left are regions that share an anchor with others but are not equal to one: edges
    of repeats. Their bytes, and those of one region of each kind that they may match, are dealt by
@@ -37,6 +39,8 @@ from deltaview.llm._store import Scratch, partitions
 LENGTH, GRAM = 400, 32
 #: Bytes of text whose anchors are found at once, and bytes of regions that share an index.
 BUFFER, CHUNK = 4 << 20, 1 << 20
+#: Bits for a position in a buffer; a buffer and one more piece of a text have room.
+PLACE_BITS = 24
 #: The seed with which Spark's xxhash64 names strings.
 SEED = 42
 
@@ -58,7 +62,10 @@ def gram_hashes(data: bytes, gram: int = GRAM) -> np.ndarray:
 
 def window_anchors(h: np.ndarray, width: int) -> np.ndarray:
     """Position of the leftmost least hash of each window of ``width`` hashes."""
-    bits = _U(max(16, int(len(h) - 1).bit_length()))
+    # always as many bits of the hash, so that a window has the same anchor in every buffer
+    if len(h) > 1 << PLACE_BITS:
+        raise ValueError("too long a buffer")
+    bits = _U(PLACE_BITS)
     key = ((h >> bits) << bits) | np.arange(len(h), dtype=np.uint64)
     n = len(h) - width + 1
     pad = -len(key) % width
@@ -69,7 +76,7 @@ def window_anchors(h: np.ndarray, width: int) -> np.ndarray:
     return (least & ((_U(1) << bits) - _U(1))).astype(np.int64)
 
 
-ROW = np.dtype([("anchor", "<u8"), ("region", "<u8"), ("name", "<i8"), ("start", "<i8"), ("span", "<i4"), ("off", "<i4"), ("again", "<i4")])
+ROW = np.dtype([("anchor", "<u8"), ("region", "<u8"), ("name", "<i8"), ("start", "<u4"), ("span", "<u2"), ("off", "<u2"), ("again", "u1")])
 
 
 def regions(parts: list[tuple[int, int, bytes]], length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
@@ -84,8 +91,11 @@ def regions(parts: list[tuple[int, int, bytes]], length: int = LENGTH, gram: int
     at = window_anchors(h, length - gram + 1)
     own = np.repeat(np.arange(len(parts)), sizes)[: len(at)]
     whole = np.arange(len(at)) + length <= (begin + sizes)[own]
+    # windows that hold half of the other bytes before their anchor, and those that hold them after it
+    half = (length - gram) // 2
+    before = at - np.arange(len(at)) >= half
     cut = np.ones(len(at), bool)
-    cut[1:] = (at[1:] != at[:-1]) | (own[1:] != own[:-1]) | (whole[1:] != whole[:-1])
+    cut[1:] = (at[1:] != at[:-1]) | (own[1:] != own[:-1]) | (whole[1:] != whole[:-1]) | (before[1:] != before[:-1])
     first = np.flatnonzero(cut)
     last = np.concatenate([first[1:], [len(at)]]) - 1
     keep = whole[first]
@@ -94,7 +104,8 @@ def regions(parts: list[tuple[int, int, bytes]], length: int = LENGTH, gram: int
     p = own[first]
     view = memoryview(data)
     hash_of = xxhash.xxh3_64_intdigest
-    out["anchor"] = h[at[first]]
+    low, high = (at - half * before)[first], (at + gram + half * ~before)[first]
+    out["anchor"] = [hash_of(view[a:b]) for a, b in zip(low.tolist(), high.tolist(), strict=True)]
     out["region"] = [hash_of(view[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
     out["name"] = np.array([x[0] for x in parts], np.int64)[p]
     out["start"] = first - begin[p] + np.array([x[1] for x in parts], np.int64)[p]
@@ -119,7 +130,8 @@ def _same(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _marks(rows: np.ndarray) -> list[pa.Array]:
-    return [pa.array(rows["name"]), pa.array(rows["start"]), pa.array(rows["start"] + rows["span"])]
+    start = rows["start"].astype(np.int64)
+    return [pa.array(rows["name"]), pa.array(start), pa.array(start + rows["span"])]
 
 
 def _anchors(parts: int, length: int):
