@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from deltaview.llm._store import Scratch, partitions
+from deltaview.llm._store import Scratch
 
 LIMIT = 1024
 TOKENIZER = "byte_bpe_50k.json"
@@ -197,6 +197,10 @@ def seats(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
     return out
 
 
+#: Pieces of a length that one task ranks, about.
+RANKED = 1 << 17
+
+
 def padding(length: int, limit: int = LIMIT) -> int:
     return 0 if length & (length - 1) == 0 else limit - length
 
@@ -207,13 +211,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     scratch = Scratch(spark, "packing")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     cut = rows.mapInArrow(pieces_of(path or tokenizer_path(), limit), PIECES)
-    n = partitions(spark)
-    cut = scratch.save(cut.withColumn("uid", F.monotonically_increasing_id()).withColumn("bucket", F.pmod(F.xxhash64("uid"), F.lit(n))), "pieces")
-    counts = cut.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    counts = scratch.save(counts, "counts")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    cut = scratch.save(cut.withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    lengths = scratch.save(cut.groupBy(F.col("length").alias("hl")).agg(F.count(F.lit(1)).alias("n")), "histogram")
+    histogram = {r["hl"]: r["n"] for r in lengths.collect()}  # at most ``limit`` rows
     table = seats(shortest_pack_first(histogram, limit))
     seat_rows = spark.createDataFrame(table or [(0, 0, 0, 0, 0)], "seat_length long, lo long, hi long, base long, offset long")
+    # pieces of a length are ranked in buckets of about RANKED rows
+    spread = lengths.select("hl", F.ceil(F.col("n") / RANKED).alias("spread"))
+    cut = cut.join(F.broadcast(spread), F.col("length") == F.col("hl")).drop("hl").withColumn("bucket", F.pmod(F.xxhash64("uid"), F.col("spread"))).drop("spread")
+    counts = scratch.save(cut.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "counts")
     before = counts.select(F.col("length").alias("bl"), F.col("bucket").alias("bb"), (F.sum("n").over(W.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
     local = F.row_number().over(W.partitionBy("length", "bucket").orderBy("uid")) - 1
     ranked = cut.withColumn("local", local).join(before, (F.col("length") == F.col("bl")) & (F.col("bucket") == F.col("bb"))).withColumn("rank", F.col("local") + F.col("before"))
