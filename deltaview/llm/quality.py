@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from deltaview.session import ship
 
-#: At most so many rated documents are fitted.
-MAX_FIT = 6000
+#: At most so many rated documents are fitted, none of them longer than so many bytes.
+MAX_FIT, LONGEST_FIT = 6000, 1 << 20
 WORD_DIMS = 1 << 15
 CLASSES = 24
 BINS = 16
@@ -129,6 +129,7 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int, id_col: str = "doc_i
     rated = rated.orderBy(F.xxhash64("rated_id"), "rated_id").limit(max_fit)
     # at most max_fit rows of two numbers
     joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(rated), F.col("id") == F.col("rated_id"))
+    joined = joined.filter(F.octet_length(F.coalesce("text", F.lit(""))) <= LONGEST_FIT)
     got = joined.select("grade", "text").mapInArrow(_featurise, "grade int, idx binary, val binary").collect()
     grades = np.array([r["grade"] for r in got], np.intp)
     if len(np.unique(grades)) < 2:

@@ -1,6 +1,7 @@
 """Toxicity by nearest labelled examples under the cosine of weighted TF-IDF vectors.
 
-Examples are at most ``max_fit`` labelled documents of the training rows (smallest hash of their id).
+Examples are at most ``max_fit`` labelled documents of the training rows (smallest hash of their id),
+none of them longer than LONGEST_FIT bytes.
 Terms are words of letters and digits and the first bytes of longer words. Every term of an example
 is a dimension; none is left out by frequency, relevance or number. Its weight is (1 + log tf) times
 idf, with document frequencies over all documents, times the correlation of the term with the
@@ -35,10 +36,12 @@ from pyspark.sql import functions as F
 
 from deltaview.session import ship
 
-MAX_FIT, K = 8000, 15
+MAX_FIT, K = 4000, 15
+#: Longer texts than this many bytes are no examples; they are scored like all others.
+LONGEST_FIT = 1 << 20
 BLOCK = 64
 #: A term of more than one in so many examples is a dense row of the index.
-DENSE = 16
+DENSE = 48
 #: Distinct words whose terms a worker remembers; it starts again when full.
 CACHE = 200_000
 #: Lengths of word beginnings that are terms.
@@ -293,7 +296,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marked = marked.orderBy(F.xxhash64("label_id"), "label_id").limit(max_fit)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # at most max_fit rows of two numbers
-    examples = texts.join(F.broadcast(marked), F.col("id") == F.col("label_id")).select("id", "toxic", "text").cache()
+    examples = texts.join(F.broadcast(marked), F.col("id") == F.col("label_id")).filter(F.octet_length(F.coalesce("text", F.lit(""))) <= LONGEST_FIT).select("id", "toxic", "text").cache()
     total = {r["toxic"]: r["n"] for r in examples.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = total.get(0, 0), total.get(1, 0)
     share = n1 / (n0 + n1) if n0 + n1 else 0.0
