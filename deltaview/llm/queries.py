@@ -94,7 +94,8 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from deltaview.llm.suffix_dedup import remove_repeats
 
-    return remove_repeats(_table(spark, sf_dir, "documents"))
+    out = remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.withColumns({"n_kept": F.col("n_bytes") - F.col("n_removed"), "changed": F.col("n_removed") > 0})
 
 
 QUERIES = {

@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deltaview.llm._rows import fetch
 from deltaview.llm._store import Scratch, partitions
 
 LENGTH, GRAM = 400, 32
@@ -405,9 +406,8 @@ def find_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
     marks = scratch.save(marks.join(alone, F.col("name") == F.col("only"), "left_semi"), "marks-1")
     wanted = settled.filter("anchor IS NOT NULL")
     names = marks.select("name").unionByName(wanted.select("name")).distinct()
-    asked = scratch.save(names.join(classes.withColumnRenamed("name", "cn"), F.col("name") == F.col("cn")).select(F.col("name").alias("asked"), "rep"), "asked")
-    # repeated rows aside, one row for each name; the join has dealt them by these columns
-    texts = base.join(asked, (F.col("id") == F.col("rep")) & (F.col("name") == F.col("asked"))).dropDuplicates(["id", "name"]).select("name", "text")
+    asked = names.join(classes.withColumnRenamed("name", "cn"), F.col("name") == F.col("cn")).select(F.col("name").alias("node"), F.col("rep").alias("id"), F.col("name").alias("key"))
+    texts = fetch(base.select("id", F.col("name").alias("key"), "text"), scratch.save(asked, "asked")).withColumnRenamed("node", "name")
     texts = scratch.save(texts, "texts", compression="zstd")
     lists = wanted.groupBy(F.col("name").alias("wn")).agg(F.collect_list(F.struct("anchor", "a", "b")).alias("wanted"))
     cut = texts.join(lists, F.col("name") == F.col("wn")).select("name", "text", "wanted").mapInArrow(_cut_regions(length), "anchor long, name long, start long, body binary")
