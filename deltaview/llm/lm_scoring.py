@@ -45,7 +45,7 @@ GROUP_BYTES, GROUP_DOCS = 8 << 20, 4096
 NO_ID = -(1 << 63)
 #: Stands for the end among word hashes.
 END_HASH = xxhash.xxh3_64_intdigest(b"", seed=1)
-DIM, BATCH, NOISE, RATE = 24, 4096, 64, 0.1
+DIM, BATCH, NOISE, RATE = 24, 4096, 128, 0.03
 #: Times that the tasks' parameters are averaged; tokens that training draws at least, and passes over a text at most.
 ROUNDS, LEAST_DRAWS, MOST_PASSES = 2, 4_000_000, 40
 
@@ -242,7 +242,8 @@ class Trainer:
         self.squares = {k: np.full(getattr(model, k).shape, 1e-3, np.float32) for k in LogBilinear.PARTS}
 
     def _step(self, part: str, at: np.ndarray, grad: np.ndarray) -> None:
-        order = np.argsort(at, kind="stable")
+        # short keys sort in linear time
+        order = np.argsort(at.astype(np.uint16) if len(self.seen[part]) <= 1 << 16 else at, kind="stable")
         at = at[order]
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         rows, g = at[first], np.add.reduceat(grad[order], first, axis=0)

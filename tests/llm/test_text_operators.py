@@ -282,7 +282,7 @@ def test_lm_learns_and_stays_normalised():
     two = np.full(5000, 3)
     unigram = np.bincount(w, minlength=22) + 0.5
     model = lm.LogBilinear.start(unigram / unigram.sum())
-    lm.Trainer(model, unigram).learn(one, two, w, passes=60)
+    lm.Trainer(model, unigram).learn(one, two, w, passes=200)
     norm = model.log_normaliser(np.arange(22))
     every = [model.scores(np.full(22, a), np.full(22, 3), np.arange(22)) - norm[a, 3] for a in range(22)]
     assert np.allclose(np.exp(every).sum(1), 1, atol=1e-4)
