@@ -39,7 +39,7 @@ def wilson_rank(prefs: DataFrame, z: float = 1.96) -> DataFrame:
 def borda(ratings: Sequence[DataFrame]) -> DataFrame:
     """Mean over sources of (n - rank) / (n - 1); ties share the mean rank, items a source lacks come last together.
 
-    Ranks come from counts by score, so that no window holds all items.
+    Ranks come from counts by score in stretches of scores, so that no window holds all items.
     """
     items = ratings[0].select("item")
     for r in ratings[1:]:
@@ -50,14 +50,33 @@ def borda(ratings: Sequence[DataFrame]) -> DataFrame:
     for r in ratings:
         scored = items.join(r.select(F.col("item").alias("ri"), "score"), F.col("item") == F.col("ri"), "left").select("item", F.coalesce("score", F.lit(float("-inf"))).alias("score"))
         scored = written(scored)
-        by_score = scored.groupBy("score").agg(F.count(F.lit(1)).alias("m"))
-        above = F.coalesce(F.sum("m").over(W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        ranks = by_score.select(F.col("score").alias("s"), (above + (F.col("m") + 1) / 2.0).alias("rank"))
+        by_score = written(scored.groupBy("score").agg(F.count(F.lit(1)).alias("m")))
+        ranks = _places(by_score)
         got = scored.join(ranks, F.col("score") == F.col("s")).select("item", ((F.lit(float(n)) - F.col("rank")) / F.lit(max(n - 1.0, 1.0))).alias("p"))
         points = got if points is None else points.unionByName(got)
     return points.groupBy("item").agg((F.sum("p") / F.lit(float(len(ratings)))).alias("score"))
 
 
+#: Stretches of scores whose items are ranked apart.
+STRETCHES = 64
+
+
+def _places(by_score: DataFrame) -> DataFrame:
+    """by_score: score, m (items of that score). s, rank: the mean place of a score's items, the best score first."""
+    finite = by_score.filter(F.col("score") > F.lit(float("-inf")))
+    bounds = sorted(set(finite.approxQuantile("score", [i / STRETCHES for i in range(1, STRETCHES)], 0.01)))  # fewer than STRETCHES
+    stretch = F.lit(0)
+    for b in bounds:
+        stretch = stretch + (F.col("score") < F.lit(b)).cast("int")
+    rows = by_score.withColumn("stretch", stretch)
+    inside = W.partitionBy("stretch").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, -1)
+    sums = rows.groupBy(F.col("stretch").alias("t")).agg(F.sum("m").alias("held"))  # a row for each stretch
+    before = F.coalesce(F.sum("held").over(W.orderBy("t").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("t", before.alias("before"))
+    out = rows.withColumn("above", F.coalesce(F.sum("m").over(inside), F.lit(0))).join(sums, F.col("stretch") == F.col("t"))
+    return out.select(F.col("score").alias("s"), (F.col("before") + F.col("above") + (F.col("m") + 1) / 2.0).alias("rank"))
+
+
 def bradley_terry(prefs: DataFrame, prior: float = 0.5, tol: float = 1e-9, most_laps: int = 1000) -> DataFrame:
     """item, score: strengths of geometric mean 1. ``prior`` is a virtual win and loss against a strength of 1.
 

@@ -394,7 +394,7 @@ def coalescing_sum(spark, sf_dir):
     return joins.coalescing_sum([e.select(F.pmod("event_id", F.lit(7)).alias("v")), e.select(F.pmod("user_id", F.lit(5)).alias("v"))], "v")
 
 
-# --- aggregates: lineitem has no duplicate rows, so its key makes elements unique ---
+# --- aggregates: order and line number repeat in lineitem, so elements have to be made distinct ---
 
 _LI = "li AS (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag, CAST(round(l_quantity * 100) AS BIGINT) AS q, l_suppkey FROM lineitem)"
 
@@ -501,9 +501,9 @@ def catalog_functions(spark, sf_dir):
     )
 
 
-@query("SELECT p_partkey FROM part WHERE contains(lower(p_name), 'ee') OR contains(lower(p_brand), 'ee') OR contains(lower(p_type), 'ee')")
+@query("SELECT p_partkey FROM part WHERE contains(lower(p_name), 'ring') OR contains(lower(p_brand), 'ring') OR contains(lower(p_type), 'ring')")
 def state_search(spark, sf_dir):
-    return table(spark, sf_dir, "part").filter(catalog.found_in("EE", F.col("p_name"), F.col("p_brand"), F.col("p_type"))).select("p_partkey")
+    return table(spark, sf_dir, "part").filter(catalog.found_in("RING", F.col("p_name"), F.col("p_brand"), F.col("p_type"))).select("p_partkey")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -550,9 +550,17 @@ def qualification(spark, sf_dir):
     return _skills(spark, sf_dir)["qualification"]
 
 
-@query(f"WITH {_SKILLS} SELECT job, skill FROM j WHERE skill NOT IN (SELECT skill FROM c)")
+@query("""WITH p AS (SELECT p_partkey, concat_ws('/', p_brand, p_type, p_size) AS skill FROM part),
+c AS (SELECT DISTINCT l_suppkey AS candidate, skill FROM lineitem JOIN p ON l_partkey = p_partkey WHERE l_quantity >= 50),
+j AS (SELECT DISTINCT o_custkey AS job, skill FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN p ON l_partkey = p_partkey WHERE o_totalprice > 400000)
+SELECT job, skill FROM j WHERE skill NOT IN (SELECT skill FROM c)""")
 def skill_gap(spark, sf_dir):
-    return _skills(spark, sf_dir)["gap"]
+    """Finer skills than above, so that some are wanted and not had."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("/", "p_brand", "p_type", F.col("p_size").cast("string")).alias("skill"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    cand = li.filter("l_quantity >= 50").select(F.col("l_suppkey").alias("candidate"), "skill").distinct()
+    jobs = table(spark, sf_dir, "orders").filter("o_totalprice > 400000").join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("job"), "skill").distinct()
+    return composites.skill_graph().apply(candidate_skills=cand, job_skills=jobs)["gap"]
 
 
 @query(f"""WITH {_SKILLS}, s AS (SELECT skill, count(*) AS v FROM c GROUP BY skill), d AS (SELECT skill, count(*) AS w FROM j GROUP BY skill)
@@ -612,14 +620,15 @@ def borda_rank(spark, sf_dir):
     return ranking.borda([ranking.mean_of_signs(prefs(spark, sf_dir).drop("seq")), games]).withColumn("score", F.round("score", 9))
 
 
-@query(f"""WITH {_SIGNS}, v AS (SELECT l_suppkey % 40 AS item, CAST(sum(l_linenumber % 7) AS DOUBLE) / count(*) AS a FROM lineitem WHERE l_suppkey % 3 <> 0 GROUP BY 1),
-b AS (SELECT item, CAST(sum(sign) AS DOUBLE) / count(*) AS p FROM s WHERE item < 30 GROUP BY item),
+@query(f"""WITH {_SIGNS}, v AS (SELECT l_suppkey % 37 + 5 AS item, CAST(sum(l_linenumber % 7) AS DOUBLE) / count(*) AS a FROM lineitem GROUP BY 1),
+b AS (SELECT item, CAST(sum(sign) AS DOUBLE) / count(*) AS p FROM s GROUP BY item),
 f AS (SELECT coalesce(v.item, b.item) AS item, coalesce(0.7 * (a / 6.0) + 0.3 * ((p + 1.0) / 2.0), a / 6.0, (p + 1.0) / 2.0) AS x FROM v FULL OUTER JOIN b ON v.item = b.item)
 SELECT item, round(x, 9) AS score, CASE WHEN x >= 0.85 THEN 'S' WHEN x >= 0.7 THEN 'A' WHEN x >= 0.55 THEN 'B' WHEN x >= 0.4 THEN 'C' WHEN x >= 0.25 THEN 'D' WHEN x >= 0.1 THEN 'E' ELSE 'F' END AS tier FROM f""")
 def tier_fusion(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_suppkey % 3 <> 0")
-    valuations = li.select(F.col("l_orderkey").alias("agent"), F.col("l_linenumber").alias("line"), F.pmod("l_suppkey", F.lit(40)).alias("item"), F.pmod("l_linenumber", F.lit(7)).cast("long").alias("score"))
-    signs = ranking.contributions(prefs(spark, sf_dir).drop("seq")).filter("item < 30")
+    # items 0 to 4 have preferences alone, 40 and 41 valuations alone
+    li = table(spark, sf_dir, "lineitem")
+    valuations = li.select(F.col("l_orderkey").alias("agent"), F.col("l_linenumber").alias("line"), (F.pmod("l_suppkey", F.lit(37)) + 5).alias("item"), F.pmod("l_linenumber", F.lit(7)).cast("long").alias("score"))
+    signs = ranking.contributions(prefs(spark, sf_dir).drop("seq"))
     means = agg.group_by(valuations, ["item"], agg.avg_of(F.col("score"), "v"), unique=True)
     pairs = agg.group_by(signs, ["item"], agg.avg_of(F.col("sign"), "p"), unique=True)
     both = joins.combine_latest(means, pairs, "item", {"score": composites.fused(F.col("l"), F.col("r"))}, required="score")
@@ -670,3 +679,6 @@ def dfquad(spark, sf_dir):
     stances = table(spark, sf_dir, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey")).alias("claim"), (F.pmod("c_custkey", F.lit(101)) / 100.0).alias("value"))
     claims = n.unionByName(edges.select(F.col("edge").alias("claim")))
     return credences(claims, stances, edges, eps=1e-6)
+
+
+from deltaview.plans import registry_waves  # noqa: E402, F401  its queries register themselves here

@@ -95,12 +95,23 @@ def pn_counter(totals: DataFrame, src: str, inc: str, dec: str, name: str = "tot
     return top.agg(F.coalesce(F.sum(F.col("_i") - F.col("_d")), F.lit(0)).cast("long").alias(name))
 
 
+#: Positions of one writer that one window orders.
+STRETCH = 1 << 16
+
+
 def pn_totals(amounts: DataFrame, src: str, seq: str, amount: str) -> DataFrame:
-    """Cumulative increments and decrements of each writer; a negative amount counts the other way."""
-    w = W.partitionBy(src).orderBy(seq)
-    up = F.sum(F.greatest(F.col(amount), F.lit(0))).over(w)
-    down = F.sum(F.greatest(-F.col(amount), F.lit(0))).over(w)
-    return amounts.select(src, seq, up.alias("inc"), down.alias("dec"))
+    """Cumulative increments and decrements of each writer; a negative amount counts the other way.
+
+    Sums run inside stretches of STRETCH positions and over the stretches' totals, so that a busy writer is spread.
+    """
+    rows = amounts.select(src, seq, F.floor(F.col(seq) / STRETCH).alias("_at"), F.greatest(F.col(amount), F.lit(0)).alias("_up"), F.greatest(-F.col(amount), F.lit(0)).alias("_down"))
+    inside = W.partitionBy(src, "_at").orderBy(seq)
+    before = W.partitionBy("_src").orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
+    totals = rows.groupBy(F.col(src).alias("_src"), F.col("_at").alias("_stretch")).agg(F.sum("_up").alias("_u"), F.sum("_down").alias("_d"))
+    totals = totals.select("_src", "_stretch", F.coalesce(F.sum("_u").over(before), F.lit(0)).alias("_u"), F.coalesce(F.sum("_d").over(before), F.lit(0)).alias("_d"))
+    out = rows.withColumns({"_up": F.sum("_up").over(inside), "_down": F.sum("_down").over(inside)})
+    out = out.join(totals, F.col(src).eqNullSafe(F.col("_src")) & (F.col("_at") == F.col("_stretch")))
+    return out.select(src, seq, (F.col("_up") + F.col("_u")).alias("inc"), (F.col("_down") + F.col("_d")).alias("dec"))
 
 
 def list_state(commands: DataFrame, list_id: str, seq: str, op: str, index: str, element: str) -> DataFrame:
@@ -122,14 +133,14 @@ def _replay(list_id: str, seq: str, op: str, index: str, element: str):
         import pandas as pd
 
         items: list = []
-        for _, row in pdf.sort_values(seq).iterrows():
-            what, at = row[op], row[index]
+        ordered = pdf.sort_values(seq)
+        for what, at, value in zip(ordered[op].tolist(), ordered[index].tolist(), ordered[element].tolist(), strict=True):
             if what == "add":
-                items.append(row[element])
+                items.append(value)
             elif what == "insert":
-                items.insert(int(at), row[element])
+                items.insert(int(at), value)
             elif what == "set":
-                items[int(at)] = row[element]
+                items[int(at)] = value
             elif what == "remove":
                 items.pop(int(at))
             else:
@@ -151,10 +162,21 @@ def suspended(epochs: DataFrame, keys: Sequence[str], epoch: str) -> DataFrame:
 
 
 def delivered_prefix(tags: DataFrame, src: str = "src", ctr: str = "ctr") -> DataFrame:
-    """Largest t of each writer with all of 1 .. t delivered; writers without counter 1 are absent."""
-    rows = tags.select(src, ctr).distinct().filter(F.col(ctr) >= 1)
-    place = F.row_number().over(W.partitionBy(src).orderBy(ctr))
-    return rows.withColumn("_n", place).filter(F.col("_n") == F.col(ctr)).groupBy(src).agg(F.max(ctr).alias("through"))
+    """Largest t of each writer with all of 1 .. t delivered; writers without counter 1 are absent.
+
+    Whole stretches of STRETCH counters are only counted; the first one with a gap is looked into.
+    """
+    rows = tags.select(src, ctr).distinct().filter(F.col(ctr) >= 1).withColumn("_at", F.floor((F.col(ctr) - 1) / STRETCH))
+    held = rows.groupBy(F.col(src).alias("_src"), F.col("_at").alias("_stretch")).agg(F.count(F.lit(1)).alias("_n"))
+    place = F.row_number().over(W.partitionBy("_src").orderBy("_stretch")) - 1
+    # the stretches before the first one that is missing or not full
+    lead = held.withColumn("_place", place).filter((F.col("_n") == STRETCH) & (F.col("_place") == F.col("_stretch"))).withColumn("_full", F.row_number().over(W.partitionBy("_src").orderBy("_stretch")) - 1)
+    whole = lead.filter(F.col("_full") == F.col("_stretch")).groupBy("_src").agg((F.max("_stretch") + 1).alias("_whole"))
+    left = rows.join(whole, F.col(src).eqNullSafe(F.col("_src")), "left").withColumn("_whole", F.coalesce("_whole", F.lit(0)))
+    at = F.row_number().over(W.partitionBy(src, "_at").orderBy(ctr)) + F.col("_at") * STRETCH
+    first = left.filter(F.col("_at") == F.col("_whole")).withColumn("_n", at).filter(F.col("_n") == F.col(ctr)).groupBy(src).agg(F.max(ctr).alias("through"))
+    ended = whole.select(F.col("_src").alias(src), (F.col("_whole") * STRETCH).alias("through"))
+    return first.unionByName(ended).groupBy(src).agg(F.max("through").alias("through"))
 
 
 def frontier(tags: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaview.streaming.state import BucketTable
@@ -33,17 +33,36 @@ def diff_maps(old: DataFrame, new: DataFrame, key: Sequence[str], value: str, ep
     return a.join(b, on, "full").filter(changed).select(*keys, "old", "new", F.col("_has").isNull().alias("removed"))
 
 
-def page(df: DataFrame, key: str, after=None, limit: int = 200) -> DataFrame:
-    """The next rows in key order; pages never repeat a row. Null keys come first and are one page's worth of keys."""
-    rows = df if after is None else df.filter(F.col(key) > F.lit(after))
-    return rows.orderBy(key).limit(limit)
+def _at_or_after(df: DataFrame, order: Sequence[str], row: Sequence) -> Column:
+    """Rows that do not come before ``row`` in the order, nulls first."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    return F.struct(*[F.col(f"`{c}`") for c in order]) >= F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(order, row, strict=True)])
+
+
+def page(df: DataFrame, key: str, after: tuple[Sequence, int] | None = None, limit: int = 200) -> list:
+    """The next rows in the order of the key and then of all other columns, nulls first.
+
+    after: the last row of the page before and how many rows equal to it were given up to there.
+    """
+    order = [key, *(c for c in df.columns if c != key)]
+    skip = 0
+    if after is not None:
+        row, skip = after
+        last = dict(zip(df.columns, row, strict=True))
+        df = df.filter(_at_or_after(df, order, [last[c] for c in order]))
+        if last[key] is not None:
+            df = df.filter(F.col(f"`{key}`") >= F.lit(last[key]))  # scans can use this one
+    return df.orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in order]).limit(limit + skip).collect()[skip:]
 
 
 def pages(df: DataFrame, key: str, limit: int = 200, byte_budget: int = 50_000) -> Iterator[list]:
-    """All rows page by page; a page ends at the row limit or the byte budget, but holds one row at least."""
+    """All rows page by page: the pages together are the table, repeated rows and null keys included.
+
+    A page ends at the row limit or the byte budget, but holds one row at least.
+    """
     after = None
     while True:
-        rows = page(df.filter(F.col(key).isNotNull()), key, after, limit).collect()
+        rows = page(df, key, after, limit)
         if not rows:
             return
         size, keep = 0, 0
@@ -52,7 +71,11 @@ def pages(df: DataFrame, key: str, limit: int = 200, byte_budget: int = 50_000)
             if keep and size > byte_budget:
                 break
             keep += 1
-        after = rows[keep - 1][key]
+        last = rows[keep - 1]
+        equal = sum(r == last for r in rows[:keep])
+        if after is not None and tuple(after[0]) == tuple(last):
+            equal += after[1]
+        after = (tuple(last), equal)
         yield rows[:keep]
 
 
@@ -91,14 +114,31 @@ class AlignedViews:
 
 
 class EffectOnce:
-    """An effect that happens once for each batch, replays included."""
+    """An effect that never happens twice for a batch, replays included.
+
+    The batch is journaled before the effect and its end after it. A batch that was begun and not ended,
+    because the driver died between the two, is not repeated: it may have acted. ``in_doubt`` names such
+    batches, and ``settle`` ends them once the outside world was asked; the batch id given to the effect
+    can serve it as a key to ask by.
+    """
 
     def __init__(self, spark: SparkSession, path: str, effect: Callable[[int, DataFrame], None]):
-        self.effect = effect
-        self.done = BucketTable(spark, path, spark.createDataFrame([], "batch long").schema, ("batch",), 1)
+        self.spark, self.effect = spark, effect
+        schema = spark.createDataFrame([], "batch long").schema
+        self.begun, self.ended = (BucketTable(spark, f"{path}/{name}", schema, ("batch",), 1) for name in ("begun", "ended"))
+
+    def _note(self, table: BucketTable, batch: int) -> None:
+        table.write(batch, self.spark.createDataFrame([(batch,)], "batch long"), {0})
+
+    def in_doubt(self) -> list[int]:
+        return sorted(set(self.begun.versions()) - set(self.ended.versions()))
+
+    def settle(self, batch: int) -> None:
+        self._note(self.ended, batch)
 
     def __call__(self, batch_df: DataFrame, batch: int) -> None:
-        if batch in self.done.versions():
+        if batch in self.begun.versions():
             return
+        self._note(self.begun, batch)
         self.effect(batch, batch_df)
-        self.done.write(batch, batch_df.sparkSession.createDataFrame([(batch,)], "batch long"), {0})
+        self._note(self.ended, batch)
