@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from deltaview.session import ship
 
-MAX_FIT, K = 4000, 15
+MAX_FIT, K = 2000, 15
 #: Longer texts than this many bytes are no examples; they are scored like all others.
 LONGEST_FIT = 1 << 20
 BLOCK = 64
