@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples under the cosine of weighted TF-IDF vectors.
 
 Examples are at most ``max_fit`` labelled documents of the training rows (smallest hash of their id),
-none of them longer than LONGEST_FIT bytes.
+none of them longer than LONGEST_FIT bytes, and up to a third of them toxic.
 Terms are words of letters and digits and the first bytes of longer words. Every term of an example
 is a dimension; none is left out by frequency, relevance or number. Its weight is (1 + log tf) times
 idf, with document frequencies over all documents, times the correlation of the term with the
@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from deltaview.session import ship
 
 MAX_FIT, K = 2000, 15
+#: One in so many examples is toxic at most, where labels have enough of them; calibration undoes what that adds.
+TOXIC_SHARE = 3
 #: Longer texts than this many bytes are no examples; they are scored like all others.
 LONGEST_FIT = 1 << 20
 BLOCK = 64
@@ -293,13 +295,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """labels: the rows that may be learnt from."""
     ship(docs.sparkSession)
     marked = labels.select(F.col(id_col).cast("long").alias("label_id"), F.col(label_col).cast("int").alias("toxic")).filter("toxic IN (0, 1) AND label_id IS NOT NULL")
-    marked = marked.orderBy(F.xxhash64("label_id"), "label_id").limit(max_fit)
+    whole = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    most = min(whole.get(1, 0), max_fit // TOXIC_SHARE)
+    drawn = [marked.filter(F.col("toxic") == label).orderBy(F.xxhash64("label_id"), "label_id").limit(n) for label, n in ((1, most), (0, max_fit - most))]
+    marked = drawn[0].unionByName(drawn[1])
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # at most max_fit rows of two numbers
     examples = texts.join(F.broadcast(marked), F.col("id") == F.col("label_id")).filter(F.octet_length(F.coalesce("text", F.lit(""))) <= LONGEST_FIT).select("id", "toxic", "text").cache()
     total = {r["toxic"]: r["n"] for r in examples.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = total.get(0, 0), total.get(1, 0)
-    share = n1 / (n0 + n1) if n0 + n1 else 0.0
+    share = whole.get(1, 0) / sum(whole.values()) if whole else 0.0
     if not n0 or not n1:
         examples.unpersist()
         return Model([], np.zeros(0), None, share, share)
@@ -334,6 +339,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model.none = (sum(empty) + share) / (len(empty) + 1)
     if len(set(truth)) == 2:
         model.slope, model.shift = platt(np.array(votes), np.array(truth))
+        # the sample may hold more toxic examples than all labels do
+        model.shift += float(np.log(whole[1] * n0 / (whole[0] * n1)))
     return model
 
 
