@@ -2,11 +2,13 @@
 
 ``write_archive`` stores each payload's bytes once, under its SHA-256, and every record's exact
 header block in a separate table. A payload that several records share and that is long enough is
-held by one response record (the largest id); the others are revisit records that name it.
-``read_archive`` joins headers with payloads, checks every stored payload against its digest and
-gives back whole records; ``parse_records`` reads the fields from the header bytes.
+held by one response record (the largest id); the others are revisit records that name it and have no
+block of their own (identical-payload-digest profile). ``read_archive`` joins headers with payloads,
+checks every stored payload against its digest and gives back whole records beside the payload that
+each record stands for; ``parse_records`` reads the fields from the header bytes.
 
-Defined results: null payloads count as empty; a null id or url becomes an empty header field; rows
+Defined results: null payloads count as empty; a null id or url becomes an empty header field; line
+ends in a url are written as %0D and %0A; without a date column every record has the date NO_DATE; rows
 that repeat id and payload get equal records (both are the response, or both revisit); an empty
 table gives an empty archive; other columns are ignored. A stored payload that does not match its
 digest makes the read fail.
@@ -21,6 +23,10 @@ from deltaview.llm._store import Scratch
 
 MIN_SHARED_BYTES = 1000
 CRLF = "\r\n"
+NO_DATE = "1970-01-01T00:00:00Z"
+REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: The end of a header is looked for in so many bytes first, and in the whole record only if it is not there.
+HEADER_BYTES = 8192
 
 
 def record_uri(kind: str, key: Column) -> Column:
@@ -41,13 +47,15 @@ def write_archive(
     url_col: str = "url",
     payload_col: str = "html",
     min_shared_bytes: int = MIN_SHARED_BYTES,
+    date_col: str | None = None,
 ) -> None:
-    """Write the tables ``payloads`` (digest, body) and ``headers`` (digest, header)."""
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("body"))
+    """Write the tables ``payloads`` (digest, body) and ``headers`` (digest, header, revisit). date_col: a timestamp."""
+    date = F.lit(NO_DATE) if date_col is None else F.coalesce(F.date_format(F.to_utc_timestamp(date_col, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(NO_DATE))
+    rows = pages.select(F.col(id_col).alias("id"), date.alias("date"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("body"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("body", 256)))
     # one row per payload and map task leaves for the shuffle
     scratch.save(rows.groupBy("digest").agg(F.first("body").alias("body")), "payloads")
-    small = rows.select("id", "url", "digest", F.sha1("body").alias("sha1"), F.octet_length("body").cast("long").alias("size"))
+    small = rows.select("id", "date", "url", "digest", F.sha1("body").alias("sha1"), F.octet_length("body").cast("long").alias("size"))
     groups = small.groupBy("digest").agg(F.max("id").alias("holder"))
     keyed = small.join(groups, "digest").withColumn("revisit", (F.col("size") >= min_shared_bytes) & (F.col("id") != F.col("holder")))
     revisit = F.coalesce(F.col("revisit"), F.lit(False))
@@ -55,26 +63,29 @@ def write_archive(
         [
             ("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
             ("WARC-Record-ID", F.concat(F.lit("<"), record_uri("page", F.col("id")), F.lit(">"))),
-            ("WARC-Target-URI", F.regexp_replace(F.coalesce("url", F.lit("")), "[\\r\\n]+", " ")),
+            ("WARC-Date", F.col("date")),
+            ("WARC-Target-URI", F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))),
             ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
-            ("WARC-Block-Digest", F.concat(F.lit("sha256:"), F.lower(F.hex("digest")))),
+            ("WARC-Block-Digest", F.when(~revisit, F.concat(F.lit("sha256:"), F.lower(F.hex("digest"))))),
+            ("WARC-Profile", F.when(revisit, F.lit(REVISIT_PROFILE))),
             ("WARC-Refers-To", F.when(revisit, F.concat(F.lit("<"), record_uri("page", F.col("holder")), F.lit(">")))),
             ("Content-Type", F.lit("text/html; charset=utf-8")),
-            ("Content-Length", F.col("size").cast("string")),
+            ("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("size").cast("string"))),
         ]
     )
-    scratch.save(keyed.select("digest", header.alias("header")), "headers")
+    scratch.save(keyed.select("digest", header.alias("header"), revisit.alias("revisit")), "headers")
 
 
 def read_archive(scratch: Scratch) -> DataFrame:
-    """Original records: header (binary), body (binary), record (header, body and two line ends)."""
+    """Records: header, body (the payload that a record holds or names), record (header, block and two line ends; a revisit has no block)."""
     spark: SparkSession = scratch.spark
     headers = spark.read.parquet(scratch.path("headers"))
     payloads = spark.read.parquet(scratch.path("payloads"))
     good = F.unhex(F.sha2("body", 256)) == F.col("digest")
     checked = payloads.withColumn("body", F.when(good, F.col("body")).otherwise(F.raise_error(F.lit("a stored payload does not match its digest")).cast("binary")))
     joined = headers.join(checked, "digest")
-    return joined.select("digest", "header", "body", F.concat("header", "body", F.lit(b"\r\n\r\n")).alias("record"))
+    block = F.when(F.col("revisit"), F.lit(b"")).otherwise(F.col("body"))
+    return joined.select("digest", "header", "body", F.concat("header", block, F.lit(b"\r\n\r\n")).alias("record"))
 
 
 def header_field(header: Column, name: str) -> Column:
@@ -83,11 +94,13 @@ def header_field(header: Column, name: str) -> Column:
 
 
 def parse_records(records: DataFrame) -> DataFrame:
-    """Fields of whole records (column ``record``); the body is cut out by Content-Length."""
-    end = F.expr("locate('\\r\\n\\r\\n', decode(record, 'ISO-8859-1'))")
-    cut = records.select("record", end.alias("at")).withColumn("head", F.expr("substring(record, 1, at + 3)"))
-    size = header_field(F.col("head"), "Content-Length").cast("long")
-    out = cut.select("head", size.alias("size"), F.expr("substring(record, at + 4, CAST(regexp_extract(CAST(head AS STRING), 'Content-Length: ([0-9]+)', 1) AS INT))").alias("body"))
+    """Fields of whole records (columns ``record`` and ``body``). A block is cut out by Content-Length; a revisit's payload is the one it was joined with."""
+    end = F.expr(f"locate('\\r\\n\\r\\n', decode(substring(record, 1, {HEADER_BYTES}), 'ISO-8859-1'))")
+    far = F.expr("locate('\\r\\n\\r\\n', decode(record, 'ISO-8859-1'))")
+    cut = records.select("record", "body", F.when(end > 0, end).otherwise(far).alias("at")).withColumn("head", F.expr("substring(record, 1, at + 3)"))
+    block = F.expr("substring(record, at + 4, CAST(regexp_extract(CAST(head AS STRING), 'Content-Length: ([0-9]+)', 1) AS INT))")
+    body = F.when(header_field(F.col("head"), "WARC-Type") == "revisit", F.col("body")).otherwise(block)
+    out = cut.select("head", body.alias("body")).withColumn("size", F.octet_length("body").cast("long"))
     page = lambda name: F.regexp_extract(header_field(F.col("head"), name), r"^<urn:page:(.*)>$", 1)
     return out.select(
         F.expr("try_cast(regexp_extract(cast(head as string), '(?m)^WARC-Record-ID: <urn:page:([^>]*)>', 1) as bigint)").alias("page_id"),
