@@ -408,3 +408,13 @@ def test_pipeline_stages(spark):
         before = now
     assert counts["quality"] >= counts["exact_dedup"] >= counts["near_dedup"] == counts["mixing"] == counts["packing"] > 0
     assert math.isclose(sum(1 for _ in corpus_pipeline.STAGES), 5)
+
+
+def test_the_tokenizer_takes_over_where_ranks_differ():
+    right = pk.ChunkEncoder(pk.tokenizer_path())
+    wrong = pk.ChunkEncoder(pk.tokenizer_path())
+    wrong.one = lambda chunk: [1, 2, 3]
+    texts = ["the first text, with words", "another one of them", "", "  spaces  "]
+    assert wrong.encode(texts) == right.encode(texts) and wrong.one is None
+    fast = pk.ChunkEncoder(pk.tokenizer_path(), pk.tokenizer_path(pk.RANKS))
+    assert fast.encode(texts) == right.encode(texts) and fast.one is not None
