@@ -412,8 +412,14 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     sums = answered.filter("v IS NOT NULL").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n_train, v_train = int(sums["n"] or 0), int(sums["v"] or 0)
     end = np.uint64(END_HASH).view(np.int64)
-    # at most WORDS + 1 rows
-    found = answered.filter((F.col("hash").isNotNull()) & (F.col("n") > 0)).orderBy(F.desc("n"), "hash").limit(WORDS + 1).collect()
+    counted = answered.filter((F.col("hash").isNotNull()) & (F.col("n") > 0)).select("hash", "n", F.floor(16 * F.log2("n")).alias("bin"))
+    # the uppermost bins of counts that hold WORDS + 1 words, and little more: no task sends its own most frequent words
+    held, least = 0, 0
+    for r in sorted(counted.groupBy("bin").agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r["bin"]):
+        held, least = held + r["k"], r["bin"]
+        if held > WORDS:
+            break
+    found = counted.filter(F.col("bin") >= least).orderBy(F.desc("n"), "hash").limit(WORDS + 1).collect()
     ends = [r["n"] for r in found if r["hash"] == end]
     if not ends:  # the end may be rarer than the words
         row = answered.filter(F.col("hash") == int(end)).first()
