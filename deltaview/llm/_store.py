@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from deltaview.session import ship
@@ -40,6 +43,29 @@ def _clean() -> None:
             path.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
 
 
+_HELD: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What an operator keeps in a Python worker between tasks. A worker serves one operator at a time, so those of others go."""
+    for name in [k for k in _HELD if k != owner]:
+        _HELD.pop(name).clear()
+    return _HELD.setdefault(owner, {})
+
+
+def lean(run: Callable) -> Callable:
+    """A function for mapInArrow that starts without what other operators left in the worker and gives its memory back at the end."""
+
+    def wrapped(batches):
+        worker_cache("")
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library can
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 class Scratch:
     """Named Parquet tables of one run. A table survives the loss of any executor."""
 

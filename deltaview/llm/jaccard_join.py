@@ -42,13 +42,17 @@ from pyspark.sql import functions as F
 
 from deltaview.llm._components import components
 from deltaview.llm._rows import fetch, marked, text_key, without
-from deltaview.llm._store import Scratch, partitions
+from deltaview.llm._store import Scratch, lean, partitions
 
 WORDS, SIMILARITY = 5, 75
 #: Frequent shingles that order segments, at most; they change the cost alone.
 FREQUENT = 1 << 17
+#: Shingles that are counted together at most.
+GROUP_SHINGLES = 1 << 22
 #: Texts whose shingles are counted together, and how often a shingle counts as frequent among them.
 GROUP, OFTEN = 8192, 2
+#: Ranges of hashes in which these are counted, and signatures that leave a task together.
+RANGES, TOGETHER = 16, 1 << 18
 #: Cost of the list of candidates of one shingle against that of a signature; of t shingles exp(2 - 2 t) of it.
 LIST_COST = 12.0
 
@@ -182,13 +186,17 @@ def _describe(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[np.ndarray] = []
 
-        def often(arrays: list[np.ndarray]) -> pa.RecordBatch:
-            v, c = np.unique(np.concatenate(arrays), return_counts=True) if arrays else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            v, c = v[c >= OFTEN], c[c >= OFTEN]
-            k = len(v)
-            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(c), pa.array(v.view(np.int64)), pa.nulls(k, pa.binary()), pa.array(np.ones(k, bool))], DESCRIBED)
-
-        held: set[int] = set()
+        def often(arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            # sets are sorted: a range of hashes at a time needs little memory
+            cuts = (np.arange(1, RANGES, dtype=np.uint64) * _U((1 << 64) // RANGES)).astype(np.uint64)
+            at = [np.concatenate([[0], np.searchsorted(x, cuts), [len(x)]]) for x in arrays]
+            for r in range(RANGES):
+                v, c = np.unique(np.concatenate([x[i[r] : i[r + 1]] for x, i in zip(arrays, at, strict=True)]), return_counts=True)
+                v, c = v[c >= OFTEN], c[c >= OFTEN]
+                k = len(v)
+                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(c), pa.array(v.view(np.int64)), pa.nulls(k, pa.binary()), pa.array(np.ones(k, bool))], DESCRIBED)
+
+        held, size = set(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -201,12 +209,13 @@ def _describe(words: int):
                     if name not in held:  # equal sets count once
                         held.add(name)
                         seen.append(x)
+                        size += len(x)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(bits, pa.binary()), pa.array(np.zeros(len(part), bool))], DESCRIBED)
-                if len(seen) >= GROUP:
-                    yield often(seen)
-                    seen, held = [], set()
+                if len(seen) >= GROUP or size >= GROUP_SHINGLES:
+                    yield from often(seen)
+                    seen, held, size = [], set(), 0
         if seen:
-            yield often(seen)
+            yield from often(seen)
 
     return run
 
@@ -243,7 +252,7 @@ def _index(frequent: bytes, words: int, similarity: int, parts: int):
                     sigs.append(np.unique(signatures(x, often, bands)))
                     owners.append(name)
                     count += len(sigs[-1])
-                    if count > 1 << 20:
+                    if count > TOGETHER:
                         yield flush()
                         sigs, owners, count = [], [], 0
         if sigs:
@@ -348,7 +357,7 @@ def _by_width(rows: list[tuple]) -> list[tuple[np.ndarray, ...]]:
 
 CHECKED = "a long, b long, linked boolean, n_b int"
 #: Shingles of the sets that a worker remembers.
-REMEMBERED = 1 << 22
+REMEMBERED = 1 << 20
 
 
 class Sets:
@@ -400,7 +409,7 @@ def check_pairs(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str,
     asked = scratch.save(leaves.unionByName(centres), f"{name}-asked")
     rows = asked.join(texts.withColumnRenamed("node", "text_node"), F.col("node") == F.col("text_node")).select("centre", "chunk", "leaf", "node", "text")
     rows = rows.repartition(partitions(scratch.spark), "centre", "chunk").sortWithinPartitions("centre", "chunk", "leaf")
-    return scratch.save(rows.mapInArrow(_verify(words, similarity), CHECKED), f"{name}-checked")
+    return scratch.save(rows.mapInArrow(lean(_verify(words, similarity)), CHECKED), f"{name}-checked")
 
 
 class Differences:
@@ -511,12 +520,12 @@ def _classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, word
     """One row per input row: id, key (of its text), n, label (a name of its component; null for the empty set)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    described = scratch.save(rows.mapInArrow(_describe(words), "id long, key long, n long, name long, sketch binary, often boolean"), "described")
+    described = scratch.save(rows.mapInArrow(lean(_describe(words)), "id long, key long, n long, name long, sketch binary, often boolean"), "described")
     frequent = _frequent(described.filter("often").groupBy("name").agg(F.sum("n").alias("n")))
     described = described.filter("NOT often")
     parts = 4 * partitions(spark)
-    blobs = rows.select("text").mapInArrow(_index(frequent, words, similarity, parts), "part int, sigs binary, owners binary")
-    pairs = blobs.repartition(partitions(spark), "part").mapInArrow(_lists, "a long, b long")
+    blobs = rows.select("text").mapInArrow(lean(_index(frequent, words, similarity, parts)), "part int, sigs binary, owners binary")
+    pairs = blobs.repartition(partitions(spark), "part").mapInArrow(lean(_lists), "a long, b long")
     pairs = scratch.save(pairs, "lists").distinct()
     pairs = scratch.save(pairs, "stars")
     # of each set in question one row stands for all
@@ -539,7 +548,7 @@ def _classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, word
     known = about.select(F.col("node").alias("known"), "sketch")
     dealt = dealt.join(known, F.col("member") == F.col("known")).select("a", "x", "y", "side", F.col("member").alias("node"), "label", "n", "sketch")
     dealt = dealt.repartition(partitions(spark), "a", "x", "y").sortWithinPartitions("a", "x", "y")
-    active = scratch.save(dealt.mapInArrow(_active(similarity), "a long, member long").distinct(), "active")
+    active = scratch.save(dealt.mapInArrow(lean(_active(similarity)), "a long, member long").distinct(), "active")
     on = active.select(F.col("a").alias("on_a"), F.col("member").alias("on_b"))
     left = scratch.save(labelled.join(on, (F.col("a") == F.col("on_a")) & (F.col("member") == F.col("on_b"))).select("a", "member", "n", "label"), "left")
     counts = left.groupBy(F.col("a").alias("c")).agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
@@ -551,7 +560,7 @@ def _classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, word
     texts = _texts(rows, about, dealt.select(F.col("member").alias("node")).distinct(), scratch, "texts-2")
     full = dealt.join(texts, F.col("member") == F.col("node")).select("a", "x", "y", "side", "node", "label", "text")
     full = full.repartition(partitions(spark), "a", "x", "y").sortWithinPartitions("a", "x", "y", "side")
-    links = links.unionByName(scratch.save(full.mapInArrow(_compare(words, similarity), "a long, b long"), "joining"))
+    links = links.unionByName(scratch.save(full.mapInArrow(lean(_compare(words, similarity)), "a long, b long"), "joining"))
     label = scratch.save(components(links, scratch, "cc2"), "labels")
     named = described.select("id", "key", "n", "name").join(label, F.col("name") == F.col("node"), "left")
     return scratch.save(named.select("id", "key", "n", F.when(F.col("n") > 0, F.coalesce("component", "name")).alias("label")), "named")

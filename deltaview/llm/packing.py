@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from deltaview.llm._store import Scratch
+from deltaview.llm._store import Scratch, worker_cache
 
 LIMIT = 1024
 TOKENIZER = "byte_bpe_50k.json"
@@ -38,9 +38,6 @@ CACHE = 1_200_000
 CHECKED = 64
 RANKS = "byte_bpe_50k.tiktoken"
 
-_encoders: dict = {}
-
-
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -135,12 +132,13 @@ class ChunkEncoder:
 
 def encoder(path: str) -> ChunkEncoder:
     """One encoder a worker process, kept between tasks."""
-    if path not in _encoders:
+    kept = worker_cache("packing")
+    if path not in kept:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _encoders[path] = ChunkEncoder(path, tokenizer_path(RANKS) if os.path.basename(path) == TOKENIZER else None)
-    return _encoders[path]
+        kept[path] = ChunkEncoder(path, tokenizer_path(RANKS) if os.path.basename(path) == TOKENIZER else None)
+    return kept[path]
 
 
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long"

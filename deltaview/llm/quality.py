@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deltaview.llm._store import lean
 from deltaview.session import ship
 
 #: At most so many rated documents are fitted, none of them longer than so many bytes.
@@ -162,7 +163,7 @@ def grade(docs: DataFrame, model: CumulativeLink | None, levels: int, id_col: st
         sure = F.array(*[F.lit(1.0)] * (levels - 1))
         return docs.select(F.col(id_col), F.lit(float(levels - 1)).alias("expected_grade"), sure.alias("tails"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_scorer(model.weights.astype("f4"), model.theta), "id long, expected_grade double, tails array<double>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(_scorer(model.weights.astype("f4"), model.theta)), "id long, expected_grade double, tails array<double>").withColumnRenamed("id", id_col)
 
 
 #: Grades of the tables' labels: 0 poor, 1 good but toxic, 2 good.

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deltaview.llm._store import worker_cache
 from deltaview.session import ship
 
 MAX_FIT, K = 2000, 15
@@ -351,22 +352,19 @@ def packed(model: Model) -> bytes:
     return zlib.compress(pickle.dumps((body, None if x is None else (x.ids, x.labels, model.examples))), 1)
 
 
-_models: dict[int, tuple[Terms, Model]] = {}
-
-
 def unpacked(data: bytes) -> tuple[Terms, Model]:
     """The model and its terms; a worker keeps the last one between tasks."""
-    key = hash(data)
-    if key not in _models:
-        _models.clear()  # before the next one takes its memory
+    key, kept = hash(data), worker_cache("toxicity")
+    if key not in kept:
+        kept.clear()  # before the next one takes its memory
         (vocabulary, weight, *rest), index = pickle.loads(zlib.decompress(data))
         model = Model(vocabulary.split(), weight, None, *rest)
         if index is not None:
             ids, labels, examples = index
             model.learn(ids, labels, examples)
             model.examples = None
-        _models[key] = (Terms(model.vocabulary), model)
-    return _models[key]
+        kept[key] = (Terms(model.vocabulary), model)
+    return kept[key]
 
 
 def _scorer(data: bytes):
