@@ -53,15 +53,26 @@ def worker_cache(owner: str) -> dict:
     return _HELD.setdefault(owner, {})
 
 
-def lean(run: Callable) -> Callable:
-    """A function for mapInArrow that starts without what other operators left in the worker and gives its memory back at the end."""
+def _give_back() -> None:
+    """Memory that the process holds and does not use goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(run: Callable, owner: str = "") -> Callable:
+    """A function for mapInArrow that starts without what operators but the owner left in the worker and gives memory back after each batch and at the end."""
+
+    def between(batches):
+        for batch in batches:
+            yield batch
+            del batch
+            _give_back()
 
     def wrapped(batches):
-        worker_cache("")
-        yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # not every C library can
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        worker_cache(owner)
+        yield from run(between(batches))
+        _give_back()
 
     return wrapped
 

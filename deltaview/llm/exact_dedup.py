@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaview.llm._rows import marked, text_key, without
-from deltaview.llm._store import Scratch, partitions
+from deltaview.llm._store import Scratch, lean, partitions
 
 MEMTABLE_ROWS, FANOUT = 1 << 18, 4
 DIGEST_BYTES = 32
@@ -203,7 +203,7 @@ class MergeIndex:
         """rows: uid, id, digest (cut or filled up to DIGEST_BYTES)."""
         name = f"run-{len(self.runs)}"
         rows = rows.select(F.col("uid").cast("long"), F.col("id").cast("long"), F.rpad("digest", F.lit(DIGEST_BYTES), F.lit(b"\0")).alias("digest"))
-        self.scratch.save(rows.mapInArrow(_memtables(self.memtable_rows, partitions(self.scratch.spark)), RUN), name)
+        self.scratch.save(rows.mapInArrow(lean(_memtables(self.memtable_rows, partitions(self.scratch.spark))), RUN), name)
         self.runs.append(name)
 
     def compact(self, least: int = 1) -> DataFrame:
@@ -212,7 +212,7 @@ class MergeIndex:
         if not self.runs:
             raise ValueError("nothing was flushed")
         rows = spark.read.schema(RUN).parquet(*[self.scratch.path(r) for r in self.runs])
-        merged = rows.repartition(partitions(spark), "part").mapInArrow(_merge(least), LEVEL)
+        merged = rows.repartition(partitions(spark), "part").mapInArrow(lean(_merge(least)), LEVEL)
         merged = merged.select("digest", F.struct("id", "uid").alias("first"), "n")
         self.levels += 1
         bloom = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": str(self.memtable_rows)}

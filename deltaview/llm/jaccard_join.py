@@ -534,7 +534,7 @@ def _classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, word
     about = scratch.save(about.join(asked, F.col("name") == F.col("node")).select("node", "rep.id", "rep.key", "n", "sketch"), "nodes")
     side = lambda c: about.select(F.col("node").alias(f"node_{c}"), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
     met = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b")).select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b")
-    met = scratch.save(met.mapInArrow(_sift(similarity), "a long, b long, n_b long, near boolean"), "met")
+    met = scratch.save(met.mapInArrow(lean(_sift(similarity)), "a long, b long, n_b long, near boolean"), "met")
     near = met.filter("near").select("a", "b")
     texts = _texts(rows, about, near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct(), scratch, "texts-1")
     links = check_pairs(near, texts, scratch, "star", words, similarity).filter("linked").select("a", "b")

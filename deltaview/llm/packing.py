@@ -28,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from deltaview.llm._store import Scratch, worker_cache
+from deltaview.llm._store import Scratch, lean, worker_cache
 
 LIMIT = 1024
 TOKENIZER = "byte_bpe_50k.json"
-#: Entries of a worker's cache of chunk ids; it starts again when full.
-CACHE = 1_200_000
+#: Entries of a worker's cache of chunk ids (some 200 bytes each), and characters of the longest chunk kept. When full, the chunks of the last texts stay.
+CACHE, KEPT = 250_000, 64
+#: Texts encoded at once, and their characters.
+GROUP, GROUP_CHARS = 256, 1 << 20
 #: The same vocabulary as ranks, which encodes single chunks faster; one in CHECKED of them is compared with the tokenizer's ids.
 CHECKED = 64
 RANKS = "byte_bpe_50k.tiktoken"
@@ -99,7 +101,7 @@ class ChunkEncoder:
         for c in new:
             stem = c.rstrip(".,;:!?")
             # the splitter always cuts between a letter and such marks
-            if stem[-1:].isalpha() and len(stem) < len(c):
+            if len(c) <= KEPT and stem[-1:].isalpha() and len(stem) < len(c):
                 a, b = known.get(stem), known.get(tail := c[len(stem) :])
                 if a is None:
                     a = known[stem] = array("I", one(stem)).tobytes()
@@ -111,8 +113,6 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.known) > CACHE:
-            self.known.clear()
         known, chunks, whole = self.known, [], []
         for i, text in enumerate(texts):
             if not text or not self._plain(text) or any(c in text for c in self._odd_ascii) or any(s in text for s in self.special):
@@ -125,6 +125,11 @@ class ChunkEncoder:
         if not self._agree(new):
             return self.encode(texts)
         out = [b"".join(map(known.__getitem__, parts)) if parts else b"" for parts in chunks]
+        if len(known) > CACHE:
+            self.known = known = {c: known[c] for parts in chunks if parts for c in parts}
+        for c in new:
+            if len(c) > KEPT:
+                known.pop(c, None)
         for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
@@ -145,24 +150,37 @@ PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long"
 END = (0).to_bytes(4, "little")
 
 
-def pieces_of(path: str, limit: int, group: int = 256):
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of up to GROUP rows; of fewer where they hold GROUP_CHARS characters."""
+    for batch in batches:
+        ids, texts, size = [], [], 0
+        for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+            ids.append(doc.as_py())
+            texts.append(text.as_py() or "")
+            size += len(texts[-1])
+            if len(ids) == GROUP or size >= GROUP_CHARS:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+        if ids:
+            yield ids, texts
+
+
+def pieces_of(path: str, limit: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in batches:
-            ids = batch.column(0)
-            for at in range(0, batch.num_rows, group):
-                texts = [x or "" for x in batch.column(1).slice(at, group).to_pylist()]
-                rows: list[list[int]] = [[], [], [], [], []]
-                for doc, data in zip(ids.slice(at, group).to_pylist(), enc.encode(texts), strict=True):
-                    data += END
-                    n = len(data) // 4
-                    for start in range(0, n, limit):
-                        piece = data[4 * start : 4 * (start + limit)]
-                        for col, v in zip(rows, (doc, start, len(piece) // 4, zlib.crc32(piece), n), strict=True):
-                            col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["id", "start", "length", "ids_crc32", "doc_tokens"])
-
-    return cut
+        for ids, texts in _groups(batches):
+            rows: list[list[int]] = [[], [], [], [], []]
+            for doc, data in zip(ids, enc.encode(texts), strict=True):
+                data += END
+                n = len(data) // 4
+                for start in range(0, n, limit):
+                    piece = data[4 * start : 4 * (start + limit)]
+                    for col, v in zip(rows, (doc, start, len(piece) // 4, zlib.crc32(piece), n), strict=True):
+                        col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["id", "start", "length", "ids_crc32", "doc_tokens"])
+        enc.known.clear()  # the vocabulary stays for the worker's next task, chunks do not
+
+    return lean(cut, "packing")
 
 
 def shortest_pack_first(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[tuple[int, ...], int]]:

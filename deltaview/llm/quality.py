@@ -131,7 +131,7 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int, id_col: str = "doc_i
     # at most max_fit rows of two numbers
     joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(rated), F.col("id") == F.col("rated_id"))
     joined = joined.filter(F.octet_length(F.coalesce("text", F.lit(""))) <= LONGEST_FIT)
-    got = joined.select("grade", "text").mapInArrow(_featurise, "grade int, idx binary, val binary").collect()
+    got = joined.select("grade", "text").mapInArrow(lean(_featurise), "grade int, idx binary, val binary").collect()
     grades = np.array([r["grade"] for r in got], np.intp)
     if len(np.unique(grades)) < 2:
         return None

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -418,3 +419,30 @@ def test_the_tokenizer_takes_over_where_ranks_differ():
     assert wrong.encode(texts) == right.encode(texts) and wrong.one is None
     fast = pk.ChunkEncoder(pk.tokenizer_path(), pk.tokenizer_path(pk.RANKS))
     assert fast.encode(texts) == right.encode(texts) and fast.one is not None
+
+
+def test_the_encoder_holds_a_bounded_cache(monkeypatch):
+    monkeypatch.setattr(pk, "CACHE", 100)
+    enc = pk.encoder(pk.tokenizer_path())
+    enc.known.clear()
+    rng = random.Random(5)
+    texts = [f"the {'x' * 300_000}, of words"] + [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) + " the" for _ in range(600)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in enc.t.encode_batch(texts, add_special_tokens=False)]
+    got = []
+    for at in range(0, len(texts), 20):
+        got += enc.encode(texts[at : at + 20])
+        assert len(enc.known) <= 100 + 2 * 20 * 41, "it holds more than its limit and the last texts' chunks"
+        assert max(map(len, enc.known)) <= 64, "long chunks stay"
+    assert got == want
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    out = list(pk.pieces_of(pk.tokenizer_path(), 1024)(iter([batch])))
+    assert sum(n for b in out for n in b.column(2).to_pylist()) == sum(len(x) // 4 + 1 for x in want)
+    assert not enc.known, "an idle worker holds chunks"
+
+
+def test_texts_are_encoded_in_groups_of_bounded_size():
+    texts = ["a" * 400_000] * 10 + [None] + ["b"] * 300
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    groups = list(pk._groups(iter([batch])))
+    assert [i for ids, _ in groups for i in ids] == list(range(len(texts))) and [t or None for _, g in groups for t in g] == texts
+    assert max(sum(map(len, g)) for _, g in groups) <= (1 << 20) + 400_000 and max(len(ids) for ids, _ in groups) == 256
