@@ -33,7 +33,7 @@ from deltaview.llm._store import Scratch, lean, worker_cache
 LIMIT = 1024
 TOKENIZER = "byte_bpe_50k.json"
 #: Entries of a worker's cache of chunk ids (some 200 bytes each), and characters of the longest chunk kept. When full, the chunks of the last texts stay.
-CACHE, KEPT = 250_000, 64
+CACHE, KEPT = 150_000, 64
 #: Texts encoded at once, and their characters.
 GROUP, GROUP_CHARS = 256, 1 << 20
 #: The same vocabulary as ranks, which encodes single chunks faster; one in CHECKED of them is compared with the tokenizer's ids.
@@ -178,7 +178,6 @@ def pieces_of(path: str, limit: int):
                     for col, v in zip(rows, (doc, start, len(piece) // 4, zlib.crc32(piece), n), strict=True):
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["id", "start", "length", "ids_crc32", "doc_tokens"])
-        enc.known.clear()  # the vocabulary stays for the worker's next task, chunks do not
 
     return lean(cut, "packing")
 
