@@ -119,9 +119,8 @@ class ChunkEncoder:
                 whole.append(i)
                 chunks.append(None)
                 continue
-            parts = text.split(" ")
-            chunks.append([parts[0], *[" " + p for p in parts[1:]]])
-        self._learn(new := {c for parts in chunks if parts for c in parts if c not in known})
+            chunks.append(text.replace(" ", "\x1f ").split("\x1f"))  # which no text has that comes here
+        self._learn(new := set().union(*filter(None, chunks)).difference(known))
         if not self._agree(new):
             return self.encode(texts)
         out = [b"".join(map(known.__getitem__, parts)) if parts else b"" for parts in chunks]

@@ -426,7 +426,7 @@ def test_the_encoder_holds_a_bounded_cache(monkeypatch):
     enc = pk.encoder(pk.tokenizer_path())
     enc.known.clear()
     rng = random.Random(5)
-    texts = [f"the {'x' * 300_000}, of words"] + [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) + " the" for _ in range(600)]
+    texts = [f"the {'x' * 300_000}, of words", "unit\x1f separators \x1f in it", "zero\x00 bytes \x00in it"] + [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) + " the" for _ in range(600)]
     want = [np.array(e.ids, "<u4").tobytes() for e in enc.t.encode_batch(texts, add_special_tokens=False)]
     got = []
     for at in range(0, len(texts), 20):
