@@ -19,9 +19,12 @@ def traffic_light(rows: DataFrame, lights: DataFrame, port: str, seq: str) -> Da
     cols = rows.columns
     marks = lights.select(F.col(port).alias("_port"), F.col(seq).alias("_seq"), F.lit(0).alias("_turn"), F.col("green").alias("_green"), F.lit(None).cast(rows.select(F.struct(*cols)).schema[0].dataType).alias("_row"))
     data = rows.select(F.col(port).alias("_port"), F.col(seq).alias("_seq"), F.lit(1).alias("_turn"), F.lit(None).cast("boolean").alias("_green"), F.struct(*cols).alias("_row"))
-    order = W.partitionBy("_port").orderBy("_seq", "_turn")
-    now = F.coalesce(F.last("_green", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)), F.lit(False))
-    following = F.min(F.when(F.col("_green"), F.col("_seq"))).over(order.rowsBetween(0, W.unboundedFollowing))
+    # both frames grow from a port's one end, so that each row is read once; one that shrinks is summed anew for each row
+    port_rows = W.partitionBy("_port")
+    so_far = port_rows.orderBy(F.asc_nulls_last("_seq"), "_turn").rowsBetween(W.unboundedPreceding, 0)
+    from_here = port_rows.orderBy(F.desc_nulls_first("_seq"), F.desc("_turn")).rowsBetween(W.unboundedPreceding, 0)
+    now = F.coalesce(F.last("_green", ignorenulls=True).over(so_far), F.lit(False))
+    following = F.min(F.when(F.col("_green"), F.col("_seq"))).over(from_here)
     both = marks.unionByName(data).withColumn("_open", now).withColumn("_next", following)
     return both.filter("_turn = 1").select("_row.*", F.when(F.col("_open"), F.col("_seq")).otherwise(F.col("_next")).alias("released"))
 

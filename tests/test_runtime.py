@@ -87,6 +87,15 @@ def test_traffic_light_parks_in_order(spark):
     assert got == {("p", 1): 3, ("p", 2): 3, ("p", 3): 3, ("p", 4): 4, ("p", 5): 7, ("p", 6): 7, ("p", 7): 7, ("p", 8): 8, ("q", 1): None}
 
 
+def test_traffic_light_reads_rows_once(spark):
+    """No frame that ends with its port: each row would cost what follows it."""
+    data = spark.range(60000).select(F.lit("p").alias("port"), F.col("id").alias("seq"))
+    lights = spark.createDataFrame([("p", 59999, True), ("p", None, True)], "port string, seq long, green boolean")
+    out = intake.traffic_light(data, lights, "port", "seq")
+    assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert out.groupBy("released").count().collect() == [(59999, 60000)], "a light without a place acts after all others"
+
+
 def test_saturation_has_hysteresis(spark):
     d = spark.createDataFrame([(i, x) for i, x in enumerate([1, 5, 9, 6, 4, 2, 6, 9])], "seq long, depth long")
     got = [r["saturated"] for r in intake.saturation(d, [], "seq", F.col("depth"), 9, 2).orderBy("seq").collect()]
