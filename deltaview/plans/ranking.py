@@ -2,17 +2,18 @@
 
 Mean of signs, Wilson and Borda are closed forms. Bradley-Terry is a damped fixpoint. Elo, TrueSkill,
 Glicko and Weng-Lin depend on the order of games, which a sequence column fixes; they are replayed
-for each board in pandas, as no game of a board can be rated before those that precede it.
+for each board as they stream by, as no game of a board can be rated before those that precede it.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from deltaview.operators.aggregates import group_by, wilson
 from deltaview.plans.iterate import written
@@ -168,28 +169,62 @@ def _weng_lin(mu0: float = 25.0, sigma0: float = 25.0 / 3, beta: float = 25.0 /
 ENGINES = {"elo": _elo, "trueskill": _trueskill, "glicko": _glicko, "weng_lin": _weng_lin}
 
 
-def replay(games: list[tuple], engine: str, **parameters) -> dict:
+class Replay:
+    """Ratings that take games (winner, loser) one at a time; it holds a state an item."""
+
+    def __init__(self, engine: str, **parameters):
+        self.start, self.game, self.score = ENGINES[engine](**parameters)
+        self.state: dict = {}
+
+    def play(self, winner, loser) -> None:
+        state, start = self.state, self.start
+        state[winner], state[loser] = self.game(state.get(winner, start), state.get(loser, start))
+
+    def scores(self) -> dict:
+        return {item: self.score(s) for item, s in self.state.items()}
+
+
+def replay(games: Iterable[tuple], engine: str, **parameters) -> dict:
     """Scores after games (winner, loser) in order."""
-    start, game, score = ENGINES[engine](**parameters)
-    state: dict = {}
+    ratings = Replay(engine, **parameters)
     for winner, loser in games:
-        state[winner], state[loser] = game(state.get(winner, start), state.get(loser, start))
-    return {item: score(s) for item, s in state.items()}
+        ratings.play(winner, loser)
+    return ratings.scores()
 
 
 def ordered_rating(prefs: DataFrame, engine: str, seq: str, board: str | None = None, **parameters) -> DataFrame:
-    """item, score (and board) by replay in order of seq. A retracted game is one that is not among the rows."""
+    """item, score (and board) by replay in order of seq. A retracted game is one that is not among the rows.
+
+    Spark sorts the games, on disk where they are many, and a board's pass by in batches: a worker holds
+    one batch and the states of one board's items. Games of one place go by winner and loser, those
+    without a place come last.
+    """
     ship(prefs.sparkSession)
     rows = prefs if board else prefs.withColumn("_board", F.lit(0))
     by = board or "_board"
-    kinds = dict(rows.dtypes)
-
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(seq)
-        scores = replay(list(zip(pdf["winner"], pdf["loser"], strict=True)), engine, **parameters)
-        return pd.DataFrame({by: [pdf[by].iloc[0]] * len(scores), "item": list(scores), "score": list(scores.values())})
-
-    out = rows.select(by, seq, "winner", "loser").groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, item {kinds['winner']}, score double")
+    games = rows.select(by, seq, "winner", "loser").repartition(by)
+    games = games.sortWithinPartitions(by, F.asc_nulls_last(seq), "winner", "loser").select(by, "winner", "loser")
+    out_schema = T.StructType([games.schema[by], T.StructField("item", games.schema["winner"].dataType), T.StructField("score", T.DoubleType())])
+
+    def run(batches):
+        import pyarrow as pa
+
+        def rated(key, ratings, types):
+            scores = ratings.scores()
+            cols = [pa.array([key] * len(scores), types[0]), pa.array(list(scores), types[1]), pa.array(list(scores.values()), pa.float64())]
+            return pa.RecordBatch.from_arrays(cols, [by, "item", "score"])
+
+        ratings, now, types = None, None, None
+        for batch in batches:
+            types = batch.schema.field(0).type, batch.schema.field(1).type
+            for key, winner, loser in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if ratings is None or key != now:
+                    if ratings is not None:
+                        yield rated(now, ratings, types)
+                    ratings, now = Replay(engine, **parameters), key
+                ratings.play(winner, loser)
+        if ratings is not None:
+            yield rated(now, ratings, types)
+
+    out = games.mapInArrow(run, out_schema)
     return out if board else out.drop("_board")

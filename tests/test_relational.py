@@ -343,6 +343,22 @@ def test_rankings(spark):
     assert x > y
 
 
+def test_ordered_rating_holds_a_batch_of_games(spark):
+    """Boards that are cut by batches, one without a name, equal places and games without one."""
+    games = [(b, i // 2 if i < 38 else None, (i * 7) % 5, 5 + (i * 3) % 4) for b in (1, 2, None, 3) for i in range(40)]
+    data = spark.createDataFrame(games, "board int, seq long, winner long, loser long").orderBy(F.xxhash64("seq", "winner"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = ranking.ordered_rating(data, "glicko", "seq", "board")
+        assert "FlatMapGroups" not in out._jdf.queryExecution().analyzed().toString(), "a board's games as one table"
+        got = {(r["board"], r["item"]): r["score"] for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    order = sorted(games, key=lambda g: (g[1] is None, g[1] or 0, g[2], g[3]))
+    want = {(b, item): v for b in (1, 2, None, 3) for item, v in ranking.replay([g[2:] for g in order if g[0] == b], "glicko").items()}
+    assert got == want
+
+
 def test_borda_ties_and_absent_items(spark):
     a = spark.createDataFrame([("x", 2.0), ("y", 1.0), ("z", 1.0)], "item string, score double")
     b = spark.createDataFrame([("x", 5.0)], "item string, score double")
