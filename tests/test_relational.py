@@ -278,6 +278,27 @@ def test_skill_graph(spark):
     assert rows(out["market"]) == {("sql", 1, 1, False), ("go", 2, 2, False), ("aws", 0, 1, True)}
 
 
+def test_qualification_of_all_pairs(spark, monkeypatch):
+    """Bits of a number, skills beyond them, blocks that a task may not hold: equal pairs, and none moves."""
+    cand = [(i if i else None, k if k else None) for i in range(9) for k in range(7) if (i * k) % 3 != 1 and i != 7]
+    need = [(f"j{i}", k if k else None) for i in range(8) for k in range(i, 9)]
+    c, j = spark.createDataFrame(cand, "candidate int, skill int"), spark.createDataFrame(need, "job string, skill int")
+    has = {a: {k for b, k in cand if a == b} for a, _ in cand}
+    needs = {a: {k for b, k in need if a == b} for a, _ in need}
+    want = {(a, b, len(x & y), len(y), x >= y) for a, x in has.items() for b, y in needs.items() if x & y}
+    for bits, block, held in ((63, 2048, 100), (7, 2, 100), (63, 2, 0), (6, 2048, 100)):
+        for name, v in (("MOST_BITS", bits), ("BLOCK", block), ("MOST_HELD", held)):
+            monkeypatch.setattr(f"deltaview.plans.composites.{name}", v)
+        out = skill_graph().only("qualification").apply(candidate_skills=c, job_skills=j)["qualification"]
+        assert rows(out) == want
+        if bits > 6:
+            above = out._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+            assert "Join" not in above and "Aggregate" not in above
+    assert set(skill_graph().only("gap").apply(candidate_skills=c, job_skills=j)) == {"candidate_skills", "job_skills", "gap"}
+    with pytest.raises(GraphError):
+        skill_graph().only("nowhere")
+
+
 def test_slots_and_tiers(spark):
     slot = "day string, hour int"
     p = [spark.createDataFrame(x, slot) for x in ([("Mon", 9), ("Mon", 20)], [("Mon", 9), ("Mon", 20)], [("Mon", 9), ("Mon", 20), ("Tue", 10)])]
