@@ -40,6 +40,15 @@ def test_equals_sql(spark, duck, name):
     assert a == b
 
 
+def test_qualification_reads_all_orders_and_items(spark, duck):
+    """Every brand a supplier ships and every brand a customer orders, whatever the quantity and the price."""
+    has, needs = (
+        dict(duck.execute(f"SELECT {who}, list(DISTINCT p_brand) FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY 1").fetchall()) for who in ("l_suppkey", "o_custkey")
+    )
+    want = {(c, j, len(set(x) & set(y)), len(y)) for c, x in has.items() for j, y in needs.items() if set(x) & set(y)}
+    assert {tuple(r) for r in QUERIES["qualification"](spark, SF).select("candidate", "job", "matched", "required").collect()} == want
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_has_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
