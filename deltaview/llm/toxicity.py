@@ -25,9 +25,10 @@ from __future__ import annotations
 
 import pickle
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,10 @@ TOXIC_SHARE = 3
 #: Longer texts than this many bytes are no examples; they are scored like all others.
 LONGEST_FIT = 1 << 20
 BLOCK = 64
+#: Postings a run, on the mean of a text's terms, up to which a search opens all blocks without bounds.
+FEW = 8
 #: A term of more than one in so many examples is a dense row of the index.
-DENSE = 48
+DENSE = 24
 #: Distinct words whose terms a worker remembers; it starts again when full.
 CACHE = 200_000
 #: Lengths of word beginnings that are terms.
@@ -73,7 +76,7 @@ class Terms:
         self._forget()
 
     def _forget(self) -> None:
-        self.seen: dict[bytes, int] = {}
+        self.seen: dict[bytes, int] = defaultdict(count().__next__)  # a new word takes the next number
         self.rows = np.empty((4096, 1 + len(HEADS)), np.int32)
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -81,8 +84,8 @@ class Terms:
         if len(self.seen) > CACHE:
             self._forget()
         w, seen, at = words(text), self.seen, self.at
-        old, put = len(seen), seen.setdefault
-        seq = np.fromiter((put(x, len(seen)) for x in w), np.int64, len(w))
+        old = len(seen)
+        seq = np.fromiter(map(seen.__getitem__, w), np.int64, len(w))
         if len(seen) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.empty((len(seen), self.rows.shape[1]), np.int32)])
         for i, x in zip(range(len(seen) - 1, old - 1, -1), islice(reversed(seen), len(seen) - old)):
@@ -91,6 +94,15 @@ class Terms:
         return np.unique(found[found >= 0], return_counts=True)
 
 
+def terms_of(vocabulary: list[bytes]) -> Terms:
+    """Terms of a vocabulary; a worker keeps the last one between tasks, with the words it looked up."""
+    key, kept = hash(tuple(vocabulary)), worker_cache("toxicity")
+    if kept.get("vocabulary") != key:
+        kept.clear()  # before the next one takes its memory
+        kept["vocabulary"], kept["terms"] = key, Terms(vocabulary)
+    return kept["terms"]
+
+
 def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The numbers of all ranges of ``size`` from ``first`` on."""
     return np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
@@ -158,11 +170,28 @@ class BlockMaxIndex:
 
     def search(self, terms: np.ndarray, weights: np.ndarray, dense: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """As nearest, given what the frequent terms add."""
-        n, blocks = len(self.ids), -(-len(self.ids) // BLOCK)
+        n = len(self.ids)
         rare = self.row[terms] < 0
         terms, weights = terms[rare], weights[rare]
-        size = self.runs[terms + 1] - self.runs[terms]
-        run, w = spans(self.runs[terms], size), np.repeat(weights, size)
+        first, last = self.runs[terms], self.runs[terms + 1]
+        start, length = self.run_first[first], self.run_first[last] - self.run_first[first]
+        if length.sum() <= FEW * (last - first).sum():
+            # runs so short that bounds cost what they would save: all blocks are opened
+            at = spans(start, length)
+            score = np.bincount(self.docs[at], weights=np.repeat(weights, length) * self.weights[at], minlength=n) + dense
+            if without >= 0:
+                score[without] = 0
+            least = max(0.0, np.partition(score, n - k)[n - k]) if n > k else 0.0
+        else:
+            score, least = self._opened(weights, first, last - first, dense, k, without)
+        who = np.flatnonzero((score > 0) & (score >= least - 1e-9))
+        who = who[np.lexsort((who, -np.round(score[who], 12)))[:k]]
+        return who, np.minimum(score[who], 1.0)
+
+    def _opened(self, weights: np.ndarray, first: np.ndarray, size: np.ndarray, dense: np.ndarray, k: int, without: int) -> tuple[np.ndarray, float]:
+        """Cosines in the blocks that can hold one of the k nearest, 0 in others, and the least of the k."""
+        n, blocks = len(self.ids), -(-len(self.ids) // BLOCK)
+        run, w = spans(first, size), np.repeat(weights, size)
         block = self.run_block[run]
         best = np.zeros(blocks * BLOCK)
         best[:n] = dense
@@ -188,9 +217,7 @@ class BlockMaxIndex:
                 score[without] = 0
             if n > k:
                 least = max(0.0, np.partition(score, n - k)[n - k])
-        who = np.flatnonzero((score > 0) & (score >= least - 1e-9))
-        who = who[np.lexsort((who, -np.round(score[who], 12)))[:k]]
-        return who, np.minimum(score[who], 1.0)
+        return score, least
 
 
 @dataclass
@@ -269,7 +296,7 @@ def _frequencies(vocabulary: list[bytes]):
     """Document frequencies by term; documents under -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Terms(vocabulary)
+        known = terms_of(vocabulary)
         df = np.zeros(len(vocabulary), np.int64)
         n = 0
         for batch in batches:
@@ -356,14 +383,16 @@ def unpacked(data: bytes) -> tuple[Terms, Model]:
     """The model and its terms; a worker keeps the last one between tasks."""
     key, kept = hash(data), worker_cache("toxicity")
     if key not in kept:
-        kept.clear()  # before the next one takes its memory
+        for old in kept.keys() - {"vocabulary", "terms"}:
+            del kept[old]  # before the next one takes its memory
         (vocabulary, weight, *rest), index = pickle.loads(zlib.decompress(data))
         model = Model(vocabulary.split(), weight, None, *rest)
         if index is not None:
             ids, labels, examples = index
             model.learn(ids, labels, examples)
             model.examples = None
-        kept[key] = (Terms(model.vocabulary), model)
+        known = terms_of(model.vocabulary)
+        kept[key] = (known, model)
     return kept[key]
 
 

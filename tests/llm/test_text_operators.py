@@ -335,3 +335,37 @@ def test_one_of_each_with_null_ids_and_clashing_columns(spark):
     got = sorted([(r["doc_id"], r["text"]) for r in kept.collect()], key=str)
     assert got == sorted([(3, long + " c"), (None, "p q r s t u"), (None, "p q r s t u v w x"), (None, None), (8, "")], key=str)
     assert jj.one_of_each(d.limit(0)).count() == 0
+
+
+def test_toxicity_search_with_and_without_bounds(monkeypatch):
+    """Opening all blocks and opening the best give equal neighbours; short runs take the former."""
+    import numpy as np
+
+    from deltaview.llm import toxicity
+
+    rng = np.random.default_rng(3)
+    vectors = []
+    for _ in range(400):
+        t = np.sort(rng.choice(3000, 40, replace=False))
+        w = rng.random(40)
+        vectors.append((t, w / np.sqrt((w * w).sum())))
+    index = toxicity.BlockMaxIndex.of(np.arange(400), np.zeros(400), vectors, 3000)
+    dense = index.dense_scores(vectors)
+    opened = []
+    bounded = toxicity.BlockMaxIndex._opened
+    monkeypatch.setattr(toxicity.BlockMaxIndex, "_opened", lambda *a: opened.append(1) or bounded(*a))
+    got = [index.search(*v, d, 5, without=i) for i, (v, d) in enumerate(zip(vectors, dense, strict=True))]
+    assert not opened
+    monkeypatch.setattr(toxicity, "FEW", 0)
+    for (who, cosine), (i, v) in zip(got, enumerate(vectors), strict=True):
+        a, b = index.search(*v, dense[i], 5, without=i)
+        assert list(who) == list(a) and np.allclose(cosine, b)
+    assert len(opened) == 400
+
+
+def test_toxicity_terms_stay_in_a_worker():
+    from deltaview.llm import toxicity
+
+    kept = toxicity.terms_of([b"one", b"two"])
+    kept.of("two one two three")
+    assert toxicity.terms_of([b"one", b"two"]) is kept and toxicity.terms_of([b"one"]) is not kept
