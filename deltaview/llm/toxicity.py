@@ -88,8 +88,11 @@ class Terms:
         seq = np.fromiter(map(seen.__getitem__, w), np.int64, len(w))
         if len(seen) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.empty((len(seen), self.rows.shape[1]), np.int32)])
-        for i, x in zip(range(len(seen) - 1, old - 1, -1), islice(reversed(seen), len(seen) - old)):
-            self.rows[i] = [at.get(x, -1), *(at.get(b"^" + x[:n], -1) if len(x) > n else -1 for n in HEADS)]
+        if len(seen) > old:
+            new = list(islice(reversed(seen), len(seen) - old))[::-1]
+            self.rows[old : len(seen), 0] = [at.get(x, -1) for x in new]
+            for col, n in enumerate(HEADS, 1):
+                self.rows[old : len(seen), col] = [at.get(b"^" + x[:n], -1) if len(x) > n else -1 for x in new]
         found = self.rows[seq].ravel()
         return np.unique(found[found >= 0], return_counts=True)
 
