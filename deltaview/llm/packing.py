@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from deltaview.llm._store import Scratch, lean, worker_cache
+from deltaview.llm._store import Scratch, give_back, lean, worker_cache
 
 LIMIT = 1024
 TOKENIZER = "byte_bpe_50k.json"
@@ -57,6 +57,8 @@ class ChunkEncoder:
     def __init__(self, path: str, ranks: str | None = None):
         from tokenizers import Tokenizer
 
+        self.t = Tokenizer.from_file(path)
+        give_back()  # what reading it took, before the ranks take theirs
         self.one = None
         if ranks:
             import public_tokenizers
@@ -65,7 +67,8 @@ class ChunkEncoder:
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.one = tiktoken.Encoding("chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
-        self.t = Tokenizer.from_file(path)
+            del table
+            give_back()
         self.special = [x.content for x in self.t.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 

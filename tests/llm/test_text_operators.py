@@ -369,3 +369,14 @@ def test_toxicity_terms_stay_in_a_worker():
     kept = toxicity.terms_of([b"one", b"two"])
     kept.of("two one two three")
     assert toxicity.terms_of([b"one", b"two"]) is kept and toxicity.terms_of([b"one"]) is not kept
+
+
+def test_worker_gives_memory_back_before_the_next_operator(monkeypatch):
+    from deltaview.llm import _store
+
+    given = []
+    monkeypatch.setattr(_store, "_HELD", {})
+    monkeypatch.setattr(_store, "give_back", lambda: given.append(dict(_store._HELD)))
+    _store.worker_cache("one")["x"] = 1
+    assert _store.worker_cache("one") == {"x": 1} and not given
+    assert _store.worker_cache("two") == {} and given == [{}]
