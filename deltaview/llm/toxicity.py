@@ -25,13 +25,13 @@ from __future__ import annotations
 
 import pickle
 import zlib
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import count, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +48,8 @@ BLOCK = 64
 FEW = 8
 #: A term of more than one in so many examples is a dense row of the index.
 DENSE = 24
-#: Distinct words whose terms a worker remembers; it starts again when full.
-CACHE = 200_000
+#: Bytes of texts whose words are looked up at once.
+SLICE = 4 << 20
 #: Lengths of word beginnings that are terms.
 HEADS = (4, 5, 6, 7)
 THRESHOLD = 0.3
@@ -69,36 +69,62 @@ def terms(text: str | None) -> list[bytes]:
 
 
 class Terms:
-    """Finds the terms of a vocabulary in texts; the terms of each distinct word are looked up once."""
+    """Finds the terms of a vocabulary in texts; each distinct word of a slice of texts is looked up once, by Arrow."""
 
     def __init__(self, vocabulary: list[bytes]):
-        self.at = {w: i for i, w in enumerate(vocabulary)}
-        self._forget()
-
-    def _forget(self) -> None:
-        self.seen: dict[bytes, int] = defaultdict(count().__next__)  # a new word takes the next number
-        self.rows = np.empty((4096, 1 + len(HEADS)), np.int32)
+        heads = {n: [] for n in HEADS}
+        whole = []
+        for i, w in enumerate(vocabulary):
+            (heads[len(w) - 1] if w.startswith(b"^") else whole).append(i)
+        # a length of beginnings (0 for whole words), these without caret, and their numbers
+        self.sets = [(n, pa.array([vocabulary[i][1:] for i in at], pa.large_binary()), np.array([*at, -1], np.int32)) for n, at in heads.items()]
+        self.sets.append((0, pa.array([vocabulary[i] for i in whole], pa.large_binary()), np.array([*whole, -1], np.int32)))
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Terms in ascending order and how often each occurs."""
-        if len(self.seen) > CACHE:
-            self._forget()
-        w, seen, at = words(text), self.seen, self.at
-        old = len(seen)
-        seq = np.fromiter(map(seen.__getitem__, w), np.int64, len(w))
-        if len(seen) > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.empty((len(seen), self.rows.shape[1]), np.int32)])
-        if len(seen) > old:
-            new = list(islice(reversed(seen), len(seen) - old))[::-1]
-            self.rows[old : len(seen), 0] = [at.get(x, -1) for x in new]
-            for col, n in enumerate(HEADS, 1):
-                self.rows[old : len(seen), col] = [at.get(b"^" + x[:n], -1) if len(x) > n else -1 for x in new]
-        found = self.rows[seq].ravel()
-        return np.unique(found[found >= 0], return_counts=True)
+        return next(self.of_all([text]))
+
+    def of_all(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """As ``of``, for each text."""
+        held, size = [], 0
+        for text in texts:
+            held.append((text or "").encode())
+            size += len(held[-1])
+            if size >= SLICE:
+                yield from self._slice(held)
+                held, size = [], 0
+        if held:
+            yield from self._slice(held)
+
+    def _slice(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        begin = np.cumsum([0] + [len(x) + 1 for x in texts])
+        data = b" ".join(texts).translate(_FOLD)
+        inside = np.zeros(len(data) + 2, bool)
+        np.not_equal(np.frombuffer(data, np.uint8), 32, out=inside[1:-1])
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        first, size = edge[::2], edge[1::2] - edge[::2]
+        body = pa.py_buffer(data.translate(None, b" "))
+        words = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(np.append(0, np.cumsum(size))), body]).dictionary_encode()
+        found = self._rows(words.dictionary)[words.indices.to_numpy()]
+        known = found >= 0
+        # where the words of each text begin among all, and its terms among those found
+        at = np.append(0, np.cumsum(known.sum(1)))[np.searchsorted(first, begin)].tolist()
+        found = found[known]
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            yield np.unique(found[a:b], return_counts=True)
+
+    def _rows(self, words: pa.Array) -> np.ndarray:
+        """The number of each word and of its beginnings, -1 where the vocabulary lacks it."""
+        length = pc.binary_length(words).to_numpy()
+        rows = np.empty((len(words), len(self.sets)), np.int32)
+        for col, (n, held, number) in enumerate(self.sets):
+            got = number[pc.index_in(pc.binary_slice(words, 0, n) if n else words, value_set=held).fill_null(-1).to_numpy()]
+            rows[:, col] = np.where(length > n, got, -1)
+        return rows
 
 
 def terms_of(vocabulary: list[bytes]) -> Terms:
-    """Terms of a vocabulary; a worker keeps the last one between tasks, with the words it looked up."""
+    """Terms of a vocabulary; a worker keeps the last one between tasks."""
     key, kept = hash(tuple(vocabulary)), worker_cache("toxicity")
     if kept.get("vocabulary") != key:
         kept.clear()  # before the next one takes its memory
@@ -304,8 +330,8 @@ def _frequencies(vocabulary: list[bytes]):
         n = 0
         for batch in batches:
             n += batch.num_rows
-            for text in batch.column(0).to_pylist():
-                df[known.of(text)[0]] += 1
+            for found, _ in known.of_all(batch.column(0).to_pylist()):
+                df[found] += 1
         hit = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(hit, -1).astype(np.int32)), pa.array(np.append(df[hit], n))], ["term", "n"])
 
@@ -316,7 +342,7 @@ def _vectors(vocabulary: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Terms(vocabulary)
         for batch in batches:
-            found = [known.of(t) for t in batch.column(2).to_pylist()]
+            found = list(known.of_all(batch.column(2).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.astype("<i4").tobytes() for t, _ in found], pa.binary()), pa.array([c.astype("<i4").tobytes() for _, c in found], pa.binary())], ["id", "toxic", "terms", "counts"])
 
     return run
@@ -403,9 +429,10 @@ def _scorer(data: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, model = unpacked(data)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                got = model.scores([known.of(t) for t in part.column(1).to_pylist()])
+            parts = [batch.slice(at, 256) for at in range(0, batch.num_rows, 256)]
+            found = known.of_all(t for part in parts for t in part.column(1).to_pylist())
+            for part in parts:
+                got = model.scores(list(islice(found, part.num_rows)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s for s, _ in got], pa.float64()), pa.array([e for _, e in got], pa.list_(pa.int64()))], ["id", "score", "evidence"])
 
     return run

@@ -371,6 +371,31 @@ def test_toxicity_terms_stay_in_a_worker():
     assert toxicity.terms_of([b"one", b"two"]) is kept and toxicity.terms_of([b"one"]) is not kept
 
 
+def test_toxicity_terms_of_many_texts_at_once(monkeypatch):
+    """Words are looked up by slices of texts, each distinct one once, with the terms and counts of single texts."""
+    from collections import Counter
+
+    from deltaview.llm import toxicity
+
+    rng = random.Random(8)
+    texts = [None, "", " .,", "A", "a\x00b\nc", "abcd abcde ABCDEFGH abcdefg ^abcd", "über straße Straßen 5", "x " * 300]
+    texts += [" ".join("".join(rng.choice("abé1") for _ in range(rng.randrange(1, 10))) for _ in range(rng.randrange(40))) for _ in range(200)]
+    vocabulary = sorted({t for text in texts[::3] for t in toxicity.terms(text)} | {b"^abcd", b"abcd"})
+    known = toxicity.Terms(vocabulary)
+    asked = []
+    rows = toxicity.Terms._rows
+    monkeypatch.setattr(toxicity.Terms, "_rows", lambda self, words: asked.append(words.to_pylist()) or rows(self, words))
+    for size in (1, 500, 1 << 20):
+        monkeypatch.setattr(toxicity, "SLICE", size)
+        asked.clear()
+        got = list(known.of_all(iter(texts)))
+        assert len(got) == len(texts) and list(known.of_all([])) == []
+        for text, (found, times) in zip(texts, got, strict=True):
+            want = Counter(t for t in toxicity.terms(text) if t in set(vocabulary))
+            assert {vocabulary[i]: n for i, n in zip(found, times, strict=True)} == want and (np.diff(found) > 0).all()
+    assert len(asked) == 1 and len(asked[0]) == len(set(asked[0]))
+
+
 def test_worker_gives_memory_back_before_the_next_operator(monkeypatch):
     from deltaview.llm import _store
 
