@@ -88,15 +88,35 @@ class Terms:
         """As ``of``, for each text."""
         held, size = [], 0
         for text in texts:
-            held.append((text or "").encode())
-            size += len(held[-1])
-            if size >= SLICE:
+            data = (text or "").encode()
+            if size and size + len(data) > SLICE:
                 yield from self._slice(held)
                 held, size = [], 0
-        if held:
-            yield from self._slice(held)
+            if len(data) > SLICE:
+                yield from self._slice(held)
+                held = []
+                yield self._long(data)
+                continue
+            held.append(data)
+            size += len(data)
+        yield from self._slice(held)
+
+    def _long(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of a long text by its stretches, which end at spaces."""
+        data, at, parts = data.translate(_FOLD), 0, []
+        while at < len(data):
+            end = data.find(b" ", at + SLICE)
+            end = len(data) if end < 0 else end
+            parts += self._slice([data[at:end]])
+            at = end
+        found, which = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
+        times = np.zeros(len(found), np.int64)
+        np.add.at(times, which, np.concatenate([n for _, n in parts]))
+        return found, times
 
     def _slice(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if not texts:
+            return
         begin = np.cumsum([0] + [len(x) + 1 for x in texts])
         data = b" ".join(texts).translate(_FOLD)
         inside = np.zeros(len(data) + 2, bool)
