@@ -17,6 +17,12 @@ A byte goes if a string of ``length`` bytes that covers it starts at two or more
    with another position reaches ``length`` are repeats.
 3. Marks. Repeats of a text are merged and cut out of it.
 
+``passage`` words in a row that another row's text holds too are counted beside that and never cut:
+a passage of 50 words is often shorter than ``length`` bytes. Windows of words have anchors and
+regions of their own; words are compared, not what stands between them. Regions that occur in two
+texts are shared as a whole, and of the edges the windows' hashes are dealt by anchor. Words are
+named by 64 bits, windows by 128.
+
 Equal texts are one: of texts with copies every window is repeated. Texts are named by a 64-bit hash.
 
 Defined results: null texts count as empty; texts shorter than ``length`` keep everything; rows that
@@ -26,12 +32,13 @@ repeat an id are texts each; an empty table gives an empty result; other columns
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from deltaview.llm._rows import fetch
@@ -42,6 +49,10 @@ LENGTH, GRAM = 400, 32
 BUFFER, CHUNK = 4 << 20, 1 << 20
 #: Bits for a position in a buffer; a buffer and one more piece of a text have room.
 PLACE_BITS = 24
+#: Bytes of text whose words are hashed at once, a longer word stands as its digest, and words of an anchor.
+BLOCK, LONG_WORD, WORD_GRAM = 1 << 20, 4096, 8
+#: Hashes of windows that are compared at once.
+WINDOWS = 1 << 18
 #: The seed with which Spark's xxhash64 names strings.
 SEED = 42
 
@@ -121,6 +132,127 @@ def segments(name: int, data: bytes, length: int, size: int = BUFFER) -> Iterato
         yield name, at, data[at : at + size + length - 1]
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+#: A number for each byte, and an odd base whose powers tell places apart.
+_BYTES = np.random.default_rng(4).integers(0, 1 << 64, 256, np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _powers[i] = np.cumprod(steps)
+    return _powers[0], _powers[1]
+
+
+def running(values: np.ndarray) -> np.ndarray:
+    """Sums of the values before each place, from which any stretch has its hash."""
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _power(len(values) + 1)[0][: len(values)], out=out[1:])
+    return out
+
+
+def span_hashes(sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of the stretches from a to b, equal for equal values wherever they stand."""
+    h = (sums[b] - sums[a]) * _power(len(sums))[1][a]
+    h ^= h >> _U(32)
+    h *= _C[4]
+    h ^= h >> _U(29)
+    h *= _C[1]
+    return h ^ (h >> _U(32))
+
+
+def word_hashes(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of the blobs, and the number of words of each blob."""
+    data = b" ".join([b"", *blobs, b""])
+    at = np.frombuffer(data, np.uint8)
+    space = _SPACE[at]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    first, last = edge[::2], edge[1::2]
+    if len(first) and (last - first).max() > LONG_WORD:
+        return word_hashes([b" ".join(w if len(w) <= LONG_WORD else hashlib.sha256(w).hexdigest().encode() for w in b.split()) for b in blobs])
+    begin = np.concatenate([[0], np.cumsum([len(b) + 1 for b in blobs])])
+    return span_hashes(running(_BYTES[at]), first, last), np.diff(np.searchsorted(first, begin + 1))
+
+
+def word_pieces(name: int, data: bytes, overlap: int, size: int = BLOCK) -> Iterator[tuple[int, int, bytes]]:
+    """(name, number of its first word, words) of pieces of a text that have ``overlap`` words in common."""
+    if len(data) <= size:
+        yield name, 0, data
+        return
+    at, fresh, piece, held = 0, 0, [], 0
+    for m in _WORD.finditer(data):
+        word = m.group()
+        if len(word) > LONG_WORD:
+            word = hashlib.sha256(word).hexdigest().encode()
+        piece.append(word)
+        fresh += 1
+        held += len(word) + 1
+        if held >= size and len(piece) > overlap:
+            yield name, at, b" ".join(piece)
+            at += len(piece) - overlap
+            piece = piece[len(piece) - overlap :]
+            fresh, held = 0, 0
+    if fresh:
+        yield name, at, b" ".join(piece)
+
+
+def word_regions(parts: list[tuple[int, int, bytes]], passage: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Regions of windows of ``passage`` words that lie in one part, as ROW records that count words; and (name, last start) of the parts that have windows."""
+    words, sizes = word_hashes([p[2] for p in parts])
+    names, starts = np.array([p[0] for p in parts], np.int64), np.array([p[1] for p in parts], np.int64)
+    ends = [(n, s + k - passage) for n, s, k in zip(names.tolist(), starts.tolist(), sizes.tolist(), strict=True) if k >= passage]
+    if not ends:
+        return np.zeros(0, ROW), ends
+    gram = min(WORD_GRAM, passage)
+    sums = running(words)
+    places = np.arange(len(words) - gram + 1)
+    at = window_anchors(span_hashes(sums, places, places + gram), passage - gram + 1)
+    own = np.repeat(np.arange(len(parts)), sizes)
+    begin = np.cumsum(sizes) - sizes
+    whole = own[: len(at)] == own[passage - 1 :]
+    half = (passage - gram) // 2
+    before = at - np.arange(len(at)) >= half
+    own = own[: len(at)]
+    cut = np.ones(len(at), bool)
+    cut[1:] = (at[1:] != at[:-1]) | (own[1:] != own[:-1]) | (whole[1:] != whole[:-1]) | (before[1:] != before[:-1])
+    first = np.flatnonzero(cut)
+    last = np.concatenate([first[1:], [len(at)]]) - 1
+    keep = whole[first]
+    first, last = first[keep], last[keep]
+    out = np.zeros(len(first), ROW)
+    p, at, before = own[first], at[first], before[first]
+    out["anchor"] = span_hashes(sums, at - half * before, at + gram + half * ~before)
+    out["region"] = span_hashes(sums, first, last + passage)
+    out["name"] = names[p]
+    out["start"] = first - begin[p] + starts[p]
+    out["span"] = last - first
+    out["off"] = at - first
+    return out, ends
+
+
+def _firsts(*columns: np.ndarray) -> np.ndarray:
+    """True where any of the sorted columns changes."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return new
+
+
+def _shared(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows with equal regions together, the first of each kind, the kinds' numbers and whether a kind is in two texts."""
+    rows = rows[np.lexsort((rows["region"], rows["anchor"]))]
+    first = _firsts(rows["anchor"], rows["region"])
+    at = np.flatnonzero(first)
+    two = np.minimum.reduceat(rows["name"], at) != np.maximum.reduceat(rows["name"], at)
+    return rows, first, np.cumsum(first) - 1, two | (np.maximum.reduceat(rows["again"], at) > 0)
+
+
 def _same(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order that brings equal regions together, and the number of the kind of each row in it."""
     order = np.lexsort((rows["off"], rows["span"], rows["region"], rows["anchor"]))
@@ -135,11 +267,35 @@ def _marks(rows: np.ndarray) -> list[pa.Array]:
     return [pa.array(rows["name"]), pa.array(start), pa.array(start + rows["span"])]
 
 
-def _anchors(parts: int, length: int):
+#: What a row of the first pass is about: bytes, words, or all words of a text.
+ABOUT_BYTES, ABOUT_WORDS, ABOUT_WHOLE = 0, 1, 2
+_FOUND = ["about", "part", "rows", "name", "a", "b"]
+
+
+def _found(about: int, name: pa.Array, a: pa.Array, b: pa.Array) -> pa.RecordBatch:
+    k = len(name)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(k, about, np.int32)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), name, a, b], _FOUND)
+
+
+def _dealt(about: int, rows: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Rows by the part that their anchor goes to."""
+    to = ((rows["anchor"] >> _U(32)) * _U(parts)) >> _U(32)
+    rows, to = rows[order := np.argsort(to, kind="stable")], to[order]
+    at = np.searchsorted(to, np.arange(parts + 1, dtype=np.uint64))
+    full = [i for i in range(parts) if at[i + 1] > at[i]]
+    k = len(full)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(k, about, np.int32)), pa.array(full, pa.int32()), pa.array([np.ascontiguousarray(rows[at[i] : at[i + 1]]).tobytes() for i in full], pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())],
+        _FOUND,
+    )
+
+
+def _anchors(parts: int, length: int, passage: int | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: set[int] = set()
         todo: list[tuple[int, int, bytes]] = []
-        size = 0
+        words: list[tuple[int, int, bytes]] = []
+        size = word_size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             rows = regions(todo, length)
@@ -151,28 +307,45 @@ def _anchors(parts: int, length: int):
             first = np.ones(len(rows), bool)
             first[1:] = kind[1:] != kind[:-1]
             if twice.any():
-                name, a, b = _marks(rows[twice])
-                k = len(name)
-                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), name, a, b], ["part", "rows", "name", "a", "b"])
+                yield _found(ABOUT_BYTES, *_marks(rows[twice]))
             rows["again"] = twice
-            rows = rows[first]  # of equal regions one goes on
-            to = ((rows["anchor"] >> _U(32)) * _U(parts)) >> _U(32)
-            rows, to = rows[order := np.argsort(to, kind="stable")], to[order]
-            at = np.searchsorted(to, np.arange(parts + 1, dtype=np.uint64))
-            full = [i for i in range(parts) if at[i + 1] > at[i]]
-            k = len(full)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(full, pa.int32()), pa.array([np.ascontiguousarray(rows[at[i] : at[i + 1]]).tobytes() for i in full], pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())],
-                ["part", "rows", "name", "a", "b"],
-            )
-
+            yield _dealt(ABOUT_BYTES, rows[first], parts)  # of equal regions one goes on
+
+        def flush_words() -> Iterator[pa.RecordBatch]:
+            got, ends, block, n = [], [], [], 0
+            for i, piece in enumerate(words):
+                block.append(piece)
+                n += len(piece[2])
+                if n >= BLOCK or i == len(words) - 1:
+                    rows, last = word_regions(block, passage)
+                    got.append(rows)
+                    ends += last
+                    block, n = [], 0
+            if not ends:
+                return
+            yield _found(ABOUT_WHOLE, pa.array([n for n, _ in ends], pa.int64()), pa.array(np.zeros(len(ends), np.int64)), pa.array([b for _, b in ends], pa.int64()))
+            rows, first, kind, two = _shared(np.concatenate(got))
+            two = two[kind]
+            if two.any():
+                yield _found(ABOUT_WORDS, *_marks(rows[two]))
+            rows["again"] = two
+            yield _dealt(ABOUT_WORDS, rows[first | ~two], parts)
+
+        least = length if passage is None else min(length, 2 * passage - 1)
         for batch in batches:
             for text in batch.column(0):
                 data = (text.as_py() or "").encode()
-                if len(data) < length or (name := int(np.uint64(xxhash.xxh64_intdigest(data, seed=SEED)).view(np.int64))) in held:
+                if len(data) < least or (name := int(np.uint64(xxhash.xxh64_intdigest(data, seed=SEED)).view(np.int64))) in held:
                     continue
                 held.add(name)
-                for piece in segments(name, data, length):
+                if passage is not None:
+                    for piece in word_pieces(name, data, passage - 1):
+                        words.append(piece)
+                        word_size += len(piece[2])
+                        if word_size >= BUFFER:
+                            yield from flush_words()
+                            words, word_size = [], 0
+                for piece in segments(name, data, length) if len(data) >= length else ():
                     todo.append(piece)
                     size += len(piece[2])
                     if size >= BUFFER:
@@ -180,6 +353,8 @@ def _anchors(parts: int, length: int):
                         todo, size = [], 0
         if todo:
             yield from flush()
+        if words:
+            yield from flush_words()
 
     return run
 
@@ -212,6 +387,96 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*_marks(part), anchor], ["name", "a", "b", "anchor"])
 
 
+def _resolve_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marks of regions of words that two texts hold, and the regions whose windows are needed (anchor not null)."""
+    got = [np.frombuffer(r.as_py(), ROW) for batch in batches for r in batch.column(1)]
+    if not got:
+        return
+    rows = np.concatenate(got)
+    del got
+    rows, first, kind, two = _shared(rows)
+    new = _firsts(rows["anchor"])
+    at, group = np.flatnonzero(new), np.cumsum(new) - 1
+    kinds = np.add.reduceat(first.astype(np.int64), at)
+    texts = (np.minimum.reduceat(rows["name"], at) != np.maximum.reduceat(rows["name"], at)) | (np.maximum.reduceat(rows["again"], at) > 0)
+    two = two[kind]
+    # an open kind's rows all ask; of a shared kind one tells what it holds
+    need = ((kinds > 1) & texts & (np.minimum.reduceat(two, at) == 0))[group] & (first | ~two)
+    for take, wanted in ((two & (rows["again"] == 0), False), (need, True)):
+        out, told = rows[take], two[take]
+        for at in range(0, len(out), 1 << 16):
+            part, flag = out[at : at + (1 << 16)], told[at : at + (1 << 16)]
+            anchor = pa.array(part["anchor"].view(np.int64)) if wanted else pa.nulls(len(part), pa.int64())
+            yield pa.RecordBatch.from_arrays([*_marks(part), anchor, pa.array(flag)], ["name", "a", "b", "anchor", "shared"])
+
+
+def _cut_words(passage: int):
+    """name, text, wanted regions -> the hashes of their windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            anchors, names, starts, shared, hashes = [], [], [], [], []
+            for name, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                words = np.concatenate([word_hashes([piece])[0] for _, _, piece in word_pieces(name, (text or "").encode(), 0)])
+                # regions' words one after another, and the starts of their windows there
+                a, b = (np.array([w[k] for w in wanted]) for k in "ab")
+                n = b - a + 1
+                held = np.concatenate([words[x : y + passage] for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+                begin = np.cumsum(n + passage - 1) - (n + passage - 1)
+                ends = np.cumsum(n)
+                at = np.repeat(begin - (ends - n), n) + np.arange(ends[-1])
+                h = span_hashes(running(held), at, at + passage)
+                for w, x, y in zip(wanted, (ends - n).tolist(), ends.tolist(), strict=True):
+                    anchors.append(w["anchor"])
+                    names.append(name)
+                    starts.append(w["a"])
+                    shared.append(w["shared"])
+                    hashes.append(h[x:y].tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(anchors, pa.int64()), pa.array(names, pa.int64()), pa.array(starts, pa.int64()), pa.array(shared, pa.bool_()), pa.array(hashes, pa.binary())], ["anchor", "name", "start", "shared", "hashes"]
+            )
+
+    return run
+
+
+def _match_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by anchor; marks of the windows that another text holds under the same anchor."""
+    rows: list[tuple] = []
+    size, last = 0, None
+
+    def flush() -> pa.RecordBatch:
+        n = np.array([len(r[4]) // 8 for r in rows])
+        own = np.repeat(np.arange(len(rows)), n)
+        ends = np.cumsum(n)
+        place = np.arange(ends[-1]) - np.repeat(ends - n, n)
+        anchor, name, start = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+        told = np.array([r[3] for r in rows])
+        h = np.frombuffer(b"".join(r[4] for r in rows), np.uint64)
+        order = np.lexsort((h, anchor[own]))
+        first = _firsts(anchor[own][order], h[order])
+        at, names = np.flatnonzero(first), name[own][order]
+        two = (np.minimum.reduceat(names, at) != np.maximum.reduceat(names, at)) | np.maximum.reduceat(told[own][order], at)
+        hit = np.empty(len(h), bool)
+        hit[order] = two[np.cumsum(first) - 1]
+        hit &= ~told[own]
+        # windows in a row are one mark
+        before = np.concatenate([[False], hit[:-1]]) & (place > 0)
+        after = np.concatenate([hit[1:], [False]]) & (place < n[own] - 1)
+        a, b = np.flatnonzero(hit & ~before), np.flatnonzero(hit & ~after)
+        return pa.RecordBatch.from_arrays([pa.array(name[own[a]]), pa.array(start[own[a]] + place[a]), pa.array(start[own[b]] + place[b])], ["name", "a", "b"])
+
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if row[0] != last and size >= WINDOWS:
+                yield flush()
+                rows, size = [], 0
+            last = row[0]
+            rows.append(row)
+            size += len(row[4]) // 8
+    if rows:
+        yield flush()
+
+
 def _cut_regions(length: int):
     """name, text, wanted regions -> their bytes."""
 
@@ -390,23 +655,29 @@ def _cut(length: int):
     return run
 
 
-def find_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, texts, marks): rows has id, name, n_bytes, sha, copies; texts one text for each name with marks or needs; marks name, a, b."""
+def find_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, passage: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """(rows, texts, marks, shared): rows has id, name, n_bytes, sha, copies; texts one text for each name with marks or needs; marks name, a, b; shared the same of windows of ``passage`` words that another row holds."""
     n = partitions(scratch.spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("name", F.xxhash64("text"))
     rows = scratch.save(base.select("id", "name", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")).withColumn("uid", F.monotonically_increasing_id()), "rows")
     classes = scratch.save(rows.groupBy("name").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("rep")), "classes")
-    found = scratch.save(base.select("text").mapInArrow(_anchors(n, length), "part int, rows binary, name long, a long, b long"), "anchors")
-    settled = found.filter("part IS NOT NULL").select("part", "rows").repartition(n, "part").mapInArrow(_resolve, "name long, a long, b long, anchor long")
-    settled = scratch.save(settled, "settled")
-    marks = found.filter("part IS NULL").select("name", "a", "b").unionByName(settled.filter("anchor IS NULL").select("name", "a", "b"))
+    found = scratch.save(base.select("text").mapInArrow(_anchors(n, length, passage), "about int, part int, rows binary, name long, a long, b long"), "anchors")
+    about = lambda what: found.filter(F.col("about") == what)
+    dealt = lambda what: about(what).filter("part IS NOT NULL").select("part", "rows").repartition(n, "part")
+    local = lambda what: about(what).filter("part IS NULL").select("name", "a", "b")
+    settled = scratch.save(dealt(ABOUT_BYTES).mapInArrow(_resolve, "name long, a long, b long, anchor long"), "settled")
+    marks = local(ABOUT_BYTES).unionByName(settled.filter("anchor IS NULL").select("name", "a", "b"))
     # of texts with copies all is repeated: their marks are not needed
     alone = classes.filter("copies = 1").select(F.col("name").alias("only"))
     marks = scratch.save(marks.join(alone, F.col("name") == F.col("only"), "left_semi"), "marks-1")
     wanted = settled.filter("anchor IS NOT NULL")
-    names = marks.select("name").unionByName(wanted.select("name")).distinct()
-    asked = names.join(classes.withColumnRenamed("name", "cn"), F.col("name") == F.col("cn")).select(F.col("name").alias("node"), F.col("rep").alias("id"), F.col("name").alias("key"))
+    names = marks.select("name").unionByName(wanted.select("name"))
+    if passage is not None:
+        settled_words = scratch.save(dealt(ABOUT_WORDS).mapInArrow(_resolve_words, "name long, a long, b long, anchor long, shared boolean"), "settled-words")
+        wanted_words = settled_words.filter("anchor IS NOT NULL")
+        names = names.unionByName(wanted_words.select("name"))
+    asked = names.distinct().join(classes.withColumnRenamed("name", "cn"), F.col("name") == F.col("cn")).select(F.col("name").alias("node"), F.col("rep").alias("id"), F.col("name").alias("key"))
     texts = fetch(base.select("id", F.col("name").alias("key"), "text"), scratch.save(asked, "asked")).withColumnRenamed("node", "name")
     texts = scratch.save(texts, "texts", compression="zstd")
     lists = wanted.groupBy(F.col("name").alias("wn")).agg(F.collect_list(F.struct("anchor", "a", "b")).alias("wanted"))
@@ -414,22 +685,41 @@ def find_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
     cut = cut.repartition(n, "anchor").sortWithinPartitions("anchor")
     edges = scratch.save(cut.mapInArrow(_index(length), "name long, a long, b long"), "marks-2")
     marks = marks.unionByName(edges.join(alone, F.col("name") == F.col("only"), "left_semi"))
-    return rows.join(classes.select(F.col("name").alias("cn"), "copies"), F.col("name") == F.col("cn")).drop("cn"), texts, marks
+    rows = rows.join(classes.select(F.col("name").alias("cn"), "copies"), F.col("name") == F.col("cn")).drop("cn")
+    if passage is None:
+        return rows, texts, marks, None
+    lists = wanted_words.groupBy(F.col("name").alias("wn")).agg(F.collect_list(F.struct("anchor", "a", "b", "shared")).alias("wanted"))
+    cut = texts.join(lists, F.col("name") == F.col("wn")).select("name", "text", "wanted").mapInArrow(_cut_words(passage), "anchor long, name long, start long, shared boolean, hashes binary")
+    cut = cut.repartition(n, "anchor").sortWithinPartitions("anchor")
+    edges = scratch.save(cut.mapInArrow(_match_words, "name long, a long, b long"), "shared-2")
+    copied = classes.filter("copies > 1").select(F.col("name").alias("only"))
+    shared = local(ABOUT_WORDS).unionByName(settled_words.filter("anchor IS NULL").select("name", "a", "b")).unionByName(edges)
+    return rows, texts, marks, shared.unionByName(local(ABOUT_WHOLE).join(copied, F.col("name") == F.col("only"), "left_semi"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, passage: int | None = None) -> DataFrame:
+    """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, and with ``passage`` n_shared_words, the words in runs of so many that another row's text holds too."""
+    if passage is not None and passage < 2:
+        raise ValueError("a passage has two words at least")
     scratch = Scratch(docs.sparkSession, "suffix")
-    rows, texts, marks = find_repeats(docs, scratch, id_col, text_col, length)
+    rows, texts, marks, shared = find_repeats(docs, scratch, id_col, text_col, length, passage)
     lists = marks.groupBy(F.col("name").alias("mn")).agg(F.collect_list(F.struct("a", "b")).alias("marks"))
     cut = texts.join(lists, F.col("name") == F.col("mn")).select("name", "text", "marks").mapInArrow(_cut(length), "name long, gone long, spans long, sha string")
     cut = scratch.save(cut, "cut").select(F.col("name").alias("cut_name"), "gone", "spans", F.col("sha").alias("cut_sha"))
     out = rows.join(cut, F.col("name") == F.col("cut_name"), "left")
     all_gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    return out.select(
+    columns = [
         F.col("id").alias(id_col),
         "n_bytes",
         F.when(all_gone, F.col("n_bytes")).otherwise(F.coalesce("gone", F.lit(0))).cast("long").alias("n_removed"),
         F.when(all_gone, F.lit(1)).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(all_gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("cut_sha", "sha")).alias("kept_sha256"),
-    )
+    ]
+    if shared is not None:
+        # words of a mark that no mark before it covers
+        upto = Window.partitionBy("name").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+        new = F.greatest(F.lit(0), F.col("b") + passage - F.greatest("a", F.coalesce(F.max(F.col("b") + passage).over(upto), F.lit(0))))
+        counts = shared.withColumn("new", new).groupBy(F.col("name").alias("shared_name")).agg(F.sum("new").alias("shared_words"))
+        out = out.join(scratch.save(counts, "shared"), F.col("name") == F.col("shared_name"), "left")
+        columns.append(F.coalesce("shared_words", F.lit(0)).cast("long").alias("n_shared_words"))
+    return out.select(*columns)

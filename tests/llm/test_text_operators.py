@@ -228,6 +228,63 @@ def test_remove_repeats(spark, length):
     assert sd.remove_repeats(table(spark, []).limit(0)).count() == 0
 
 
+def brute_shared(texts, passage):
+    docs = [(t or "").encode().split() for t in texts]
+    owners = defaultdict(set)
+    for i, d in enumerate(docs):
+        for p in range(len(d) - passage + 1):
+            owners[tuple(d[p : p + passage])].add(i)
+    return [len({q for p in range(len(d) - passage + 1) if len(owners[tuple(d[p : p + passage])]) > 1 for q in range(p, p + passage)}) for d in docs]
+
+
+@pytest.mark.parametrize("passage", [2, 7, 20])
+def test_words_of_shared_passages(spark, passage):
+    rng = random.Random(passage)
+    texts = [t for seed in range(4) for t in repetitive(seed)] + ["\n\t".join(prose(rng, 90).split())] * 2
+    line = [f"common{i}" for i in range(passage + 3)]
+    for i in range(30):  # a line with other words around it, twice in some texts, with other blanks in some
+        own = lambda n: [f"own{i}x{rng.randrange(10**6)}" for _ in range(n)]  # noqa: E731, B023
+        w = own(rng.randrange(9)) + line[rng.randrange(5) :] + own(rng.randrange(40)) + (line if i % 3 else [])
+        texts.append((" \r\n " if i % 2 else " ").join(w) + (" " if i % 4 else ""))
+    texts += [" ".join(["x"] * (passage + 5)), " ".join(["y"] * 200 + ["x"] * passage), "  " + texts[-1], "z" * 9000 + " " + prose(rng, 60), "z" * 9000 + " " + texts[-2], " ".join(["solo"] * 200)]
+    got = {r["doc_id"]: r for r in sd.remove_repeats(table(spark, texts), passage=passage).collect()}
+    want = brute_shared(texts, passage)
+    assert [got[i]["n_shared_words"] for i in range(len(texts))] == want
+    assert want[-1] == 0 and max(want) > 60, "a repeat inside one text is not shared"
+    plain = {r["doc_id"]: r for r in sd.remove_repeats(table(spark, texts)).collect()}
+    assert all(tuple(plain[i]) == tuple(got[i])[:-1] for i in plain), "what is cut stays as it was"
+
+
+def test_op4_tells_passages_that_are_too_short_to_cut(spark, tmp_path):
+    from deltaview.llm.queries import op4_suffix_dedup
+
+    rng = random.Random(6)
+    passage = prose(rng, 55)
+    assert len(passage) < sd.LENGTH
+    own = lambda i: " ".join(f"d{i}w{j}" for j in range(200))
+    texts = [own(0) + " " + passage + " " + own(1), own(2) + "\n" + passage, own(3), " ".join(passage.split()[:50]), None]
+    table(spark, texts).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["doc_id"], r["n_removed"], r["n_shared_words"]) for r in op4_suffix_dedup(spark, str(tmp_path)).collect())
+    assert got == [(0, 0, 55), (1, 0, 55), (2, 0, 0), (3, 0, 0), (4, 0, 0)]
+
+
+def test_words_of_long_texts_are_segmented():
+    rng = random.Random(7)
+    words = [(rng.choice("abc") * rng.choice([1, 3, 40, 5000])).encode() for _ in range(400)]
+    data = b"\n " + b" \t".join(words) + b" "
+    for size in (100, 1000, 3000):
+        pieces = list(sd.word_pieces(1, data, 9, size))
+        assert len(pieces) > 3
+        whole, parts = sd.word_regions([(1, 0, data)], 10)[0], sd.word_regions(pieces, 10)[0]
+        each = np.concatenate([sd.word_regions([p], 10)[0] for p in pieces])
+        starts = lambda r: sorted(s for x in r for s in range(x["start"], x["start"] + x["span"] + 1))
+        assert starts(whole) == starts(parts) == starts(each) == list(range(391))
+        hashes = [sd.word_hashes([p[2]])[0] for p in sd.word_pieces(1, data, 0, size)]
+        assert (np.concatenate(hashes) == sd.word_hashes([data])[0]).all()
+    h = sd.word_hashes([data])[0]
+    assert len(h) == 400 and len(set(h.tolist())) == len(set(words))
+
+
 def test_long_texts_are_segmented():
     data = bytes(random.Random(2).randrange(97, 123) for _ in range(3000))
     whole = sd.regions([(1, 0, data)], 64)
