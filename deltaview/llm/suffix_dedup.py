@@ -51,8 +51,8 @@ BUFFER, CHUNK = 4 << 20, 1 << 20
 PLACE_BITS = 24
 #: Bytes of text whose words are hashed at once, a longer word stands as its digest, and words of an anchor.
 BLOCK, LONG_WORD, WORD_GRAM = 1 << 20, 4096, 8
-#: Hashes of windows that are compared at once.
-WINDOWS = 1 << 18
+#: Hashes of windows that are compared at once, and shares of a task's regions of words, of which it holds one.
+WINDOWS, SHARES = 1 << 18, 16
 #: The seed with which Spark's xxhash64 names strings.
 SEED = 42
 
@@ -329,7 +329,7 @@ def _anchors(parts: int, length: int, passage: int | None = None):
             if two.any():
                 yield _found(ABOUT_WORDS, *_marks(rows[two]))
             rows["again"] = two
-            yield _dealt(ABOUT_WORDS, rows[first | ~two], parts)
+            yield _dealt(ABOUT_WORDS, rows[first | ~two], parts * SHARES)
 
         least = length if passage is None else min(length, 2 * passage - 1)
         for batch in batches:
@@ -388,26 +388,35 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _resolve_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks of regions of words that two texts hold, and the regions whose windows are needed (anchor not null)."""
-    got = [np.frombuffer(r.as_py(), ROW) for batch in batches for r in batch.column(1)]
-    if not got:
-        return
-    rows = np.concatenate(got)
-    del got
-    rows, first, kind, two = _shared(rows)
-    new = _firsts(rows["anchor"])
-    at, group = np.flatnonzero(new), np.cumsum(new) - 1
-    kinds = np.add.reduceat(first.astype(np.int64), at)
-    texts = (np.minimum.reduceat(rows["name"], at) != np.maximum.reduceat(rows["name"], at)) | (np.maximum.reduceat(rows["again"], at) > 0)
-    two = two[kind]
-    # an open kind's rows all ask; of a shared kind one tells what it holds
-    need = ((kinds > 1) & texts & (np.minimum.reduceat(two, at) == 0))[group] & (first | ~two)
-    for take, wanted in ((two & (rows["again"] == 0), False), (need, True)):
-        out, told = rows[take], two[take]
-        for at in range(0, len(out), 1 << 16):
-            part, flag = out[at : at + (1 << 16)], told[at : at + (1 << 16)]
-            anchor = pa.array(part["anchor"].view(np.int64)) if wanted else pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays([*_marks(part), anchor, pa.array(flag)], ["name", "a", "b", "anchor", "shared"])
+    """Rows sorted by part; marks of regions of words that two texts hold, and the regions whose windows are needed (anchor not null)."""
+    got: list[np.ndarray] = []
+    last = None
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        rows, first, kind, two = _shared(np.concatenate(got))
+        new = _firsts(rows["anchor"])
+        at, group = np.flatnonzero(new), np.cumsum(new) - 1
+        kinds = np.add.reduceat(first.astype(np.int64), at)
+        texts = (np.minimum.reduceat(rows["name"], at) != np.maximum.reduceat(rows["name"], at)) | (np.maximum.reduceat(rows["again"], at) > 0)
+        two = two[kind]
+        # an open kind's rows all ask; of a shared kind one tells what it holds
+        need = ((kinds > 1) & texts & (np.minimum.reduceat(two, at) == 0))[group] & (first | ~two)
+        for take, wanted in ((two & (rows["again"] == 0), False), (need, True)):
+            out, told = rows[take], two[take]
+            for i in range(0, len(out), 1 << 16):
+                part, flag = out[i : i + (1 << 16)], told[i : i + (1 << 16)]
+                anchor = pa.array(part["anchor"].view(np.int64)) if wanted else pa.nulls(len(part), pa.int64())
+                yield pa.RecordBatch.from_arrays([*_marks(part), anchor, pa.array(flag)], ["name", "a", "b", "anchor", "shared"])
+
+    for batch in batches:
+        for part, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if part != last and got:
+                yield from flush()
+                got = []
+            last = part
+            got.append(np.frombuffer(rows.as_py(), ROW))
+    if got:
+        yield from flush()
 
 
 def _cut_words(passage: int):
@@ -674,7 +683,7 @@ def find_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
     wanted = settled.filter("anchor IS NOT NULL")
     names = marks.select("name").unionByName(wanted.select("name"))
     if passage is not None:
-        settled_words = scratch.save(dealt(ABOUT_WORDS).mapInArrow(_resolve_words, "name long, a long, b long, anchor long, shared boolean"), "settled-words")
+        settled_words = scratch.save(dealt(ABOUT_WORDS).sortWithinPartitions("part").mapInArrow(_resolve_words, "name long, a long, b long, anchor long, shared boolean"), "settled-words")
         wanted_words = settled_words.filter("anchor IS NOT NULL")
         names = names.unionByName(wanted_words.select("name"))
     asked = names.distinct().join(classes.withColumnRenamed("name", "cn"), F.col("name") == F.col("cn")).select(F.col("name").alias("node"), F.col("rep").alias("id"), F.col("name").alias("key"))
