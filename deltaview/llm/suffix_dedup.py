@@ -42,17 +42,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from deltaview.llm._rows import fetch
-from deltaview.llm._store import Scratch, partitions
+from deltaview.llm._store import Scratch, lean, partitions
 
 LENGTH, GRAM = 400, 32
-#: Bytes of text whose anchors are found at once, and bytes of regions that share an index.
-BUFFER, CHUNK = 4 << 20, 1 << 20
+#: Bytes of text whose equal regions are found at once, and bytes of regions that share an index.
+BUFFER, CHUNK = 4 << 20, 1 << 19
 #: Bits for a position in a buffer; a buffer and one more piece of a text have room.
 PLACE_BITS = 24
-#: Bytes of text whose words are hashed at once, a longer word stands as its digest, and words of an anchor.
+#: Bytes of text whose anchors or words are hashed at once, a longer word stands as its digest, and words of an anchor.
 BLOCK, LONG_WORD, WORD_GRAM = 1 << 20, 4096, 8
 #: Hashes of windows that are compared at once, and shares of a task's regions of words, of which it holds one.
-WINDOWS, SHARES = 1 << 18, 16
+WINDOWS, SHARES = 1 << 17, 16
 #: The seed with which Spark's xxhash64 names strings.
 SEED = 42
 
@@ -126,7 +126,20 @@ def regions(parts: list[tuple[int, int, bytes]], length: int = LENGTH, gram: int
     return out
 
 
-def segments(name: int, data: bytes, length: int, size: int = BUFFER) -> Iterator[tuple[int, int, bytes]]:
+def blocks(pieces: list[tuple[int, int, bytes]], size: int = BLOCK) -> Iterator[list[tuple[int, int, bytes]]]:
+    """The pieces, as many at once as hold size bytes."""
+    block, n = [], 0
+    for piece in pieces:
+        block.append(piece)
+        n += len(piece[2])
+        if n >= size:
+            yield block
+            block, n = [], 0
+    if block:
+        yield block
+
+
+def segments(name: int, data: bytes, length: int, size: int = BLOCK) -> Iterator[tuple[int, int, bytes]]:
     """Pieces of a long text that overlap so that each window lies in exactly one as a start."""
     for at in range(0, max(1, len(data) - length + 1), size):
         yield name, at, data[at : at + size + length - 1]
@@ -298,7 +311,7 @@ def _anchors(parts: int, length: int, passage: int | None = None):
         size = word_size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = regions(todo, length)
+            rows = np.concatenate([regions(block, length) for block in blocks(todo)])
             if not len(rows):
                 return
             order, kind = _same(rows)
@@ -312,15 +325,11 @@ def _anchors(parts: int, length: int, passage: int | None = None):
             yield _dealt(ABOUT_BYTES, rows[first], parts)  # of equal regions one goes on
 
         def flush_words() -> Iterator[pa.RecordBatch]:
-            got, ends, block, n = [], [], [], 0
-            for i, piece in enumerate(words):
-                block.append(piece)
-                n += len(piece[2])
-                if n >= BLOCK or i == len(words) - 1:
-                    rows, last = word_regions(block, passage)
-                    got.append(rows)
-                    ends += last
-                    block, n = [], 0
+            got, ends = [], []
+            for block in blocks(words):
+                rows, last = word_regions(block, passage)
+                got.append(rows)
+                ends += last
             if not ends:
                 return
             yield _found(ABOUT_WHOLE, pa.array([n for n, _ in ends], pa.int64()), pa.array(np.zeros(len(ends), np.int64)), pa.array([b for _, b in ends], pa.int64()))
@@ -671,11 +680,11 @@ def find_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
     base = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("name", F.xxhash64("text"))
     rows = scratch.save(base.select("id", "name", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")).withColumn("uid", F.monotonically_increasing_id()), "rows")
     classes = scratch.save(rows.groupBy("name").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("rep")), "classes")
-    found = scratch.save(base.select("text").mapInArrow(_anchors(n, length, passage), "about int, part int, rows binary, name long, a long, b long"), "anchors")
+    found = scratch.save(base.select("text").mapInArrow(lean(_anchors(n, length, passage)), "about int, part int, rows binary, name long, a long, b long"), "anchors")
     about = lambda what: found.filter(F.col("about") == what)
     dealt = lambda what: about(what).filter("part IS NOT NULL").select("part", "rows").repartition(n, "part")
     local = lambda what: about(what).filter("part IS NULL").select("name", "a", "b")
-    settled = scratch.save(dealt(ABOUT_BYTES).mapInArrow(_resolve, "name long, a long, b long, anchor long"), "settled")
+    settled = scratch.save(dealt(ABOUT_BYTES).mapInArrow(lean(_resolve), "name long, a long, b long, anchor long"), "settled")
     marks = local(ABOUT_BYTES).unionByName(settled.filter("anchor IS NULL").select("name", "a", "b"))
     # of texts with copies all is repeated: their marks are not needed
     alone = classes.filter("copies = 1").select(F.col("name").alias("only"))
@@ -683,24 +692,24 @@ def find_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
     wanted = settled.filter("anchor IS NOT NULL")
     names = marks.select("name").unionByName(wanted.select("name"))
     if passage is not None:
-        settled_words = scratch.save(dealt(ABOUT_WORDS).sortWithinPartitions("part").mapInArrow(_resolve_words, "name long, a long, b long, anchor long, shared boolean"), "settled-words")
+        settled_words = scratch.save(dealt(ABOUT_WORDS).sortWithinPartitions("part").mapInArrow(lean(_resolve_words), "name long, a long, b long, anchor long, shared boolean"), "settled-words")
         wanted_words = settled_words.filter("anchor IS NOT NULL")
         names = names.unionByName(wanted_words.select("name"))
     asked = names.distinct().join(classes.withColumnRenamed("name", "cn"), F.col("name") == F.col("cn")).select(F.col("name").alias("node"), F.col("rep").alias("id"), F.col("name").alias("key"))
     texts = fetch(base.select("id", F.col("name").alias("key"), "text"), scratch.save(asked, "asked")).withColumnRenamed("node", "name")
     texts = scratch.save(texts, "texts", compression="zstd")
     lists = wanted.groupBy(F.col("name").alias("wn")).agg(F.collect_list(F.struct("anchor", "a", "b")).alias("wanted"))
-    cut = texts.join(lists, F.col("name") == F.col("wn")).select("name", "text", "wanted").mapInArrow(_cut_regions(length), "anchor long, name long, start long, body binary")
+    cut = texts.join(lists, F.col("name") == F.col("wn")).select("name", "text", "wanted").mapInArrow(lean(_cut_regions(length)), "anchor long, name long, start long, body binary")
     cut = cut.repartition(n, "anchor").sortWithinPartitions("anchor")
-    edges = scratch.save(cut.mapInArrow(_index(length), "name long, a long, b long"), "marks-2")
+    edges = scratch.save(cut.mapInArrow(lean(_index(length)), "name long, a long, b long"), "marks-2")
     marks = marks.unionByName(edges.join(alone, F.col("name") == F.col("only"), "left_semi"))
     rows = rows.join(classes.select(F.col("name").alias("cn"), "copies"), F.col("name") == F.col("cn")).drop("cn")
     if passage is None:
         return rows, texts, marks, None
     lists = wanted_words.groupBy(F.col("name").alias("wn")).agg(F.collect_list(F.struct("anchor", "a", "b", "shared")).alias("wanted"))
-    cut = texts.join(lists, F.col("name") == F.col("wn")).select("name", "text", "wanted").mapInArrow(_cut_words(passage), "anchor long, name long, start long, shared boolean, hashes binary")
+    cut = texts.join(lists, F.col("name") == F.col("wn")).select("name", "text", "wanted").mapInArrow(lean(_cut_words(passage)), "anchor long, name long, start long, shared boolean, hashes binary")
     cut = cut.repartition(n, "anchor").sortWithinPartitions("anchor")
-    edges = scratch.save(cut.mapInArrow(_match_words, "name long, a long, b long"), "shared-2")
+    edges = scratch.save(cut.mapInArrow(lean(_match_words), "name long, a long, b long"), "shared-2")
     copied = classes.filter("copies > 1").select(F.col("name").alias("only"))
     shared = local(ABOUT_WORDS).unionByName(settled_words.filter("anchor IS NULL").select("name", "a", "b")).unionByName(edges)
     return rows, texts, marks, shared.unionByName(local(ABOUT_WHOLE).join(copied, F.col("name") == F.col("only"), "left_semi"))
@@ -713,7 +722,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(docs.sparkSession, "suffix")
     rows, texts, marks, shared = find_repeats(docs, scratch, id_col, text_col, length, passage)
     lists = marks.groupBy(F.col("name").alias("mn")).agg(F.collect_list(F.struct("a", "b")).alias("marks"))
-    cut = texts.join(lists, F.col("name") == F.col("mn")).select("name", "text", "marks").mapInArrow(_cut(length), "name long, gone long, spans long, sha string")
+    cut = texts.join(lists, F.col("name") == F.col("mn")).select("name", "text", "marks").mapInArrow(lean(_cut(length)), "name long, gone long, spans long, sha string")
     cut = scratch.save(cut, "cut").select(F.col("name").alias("cut_name"), "gone", "spans", F.col("sha").alias("cut_sha"))
     out = rows.join(cut, F.col("name") == F.col("cut_name"), "left")
     all_gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)

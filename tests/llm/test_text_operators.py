@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -462,3 +463,19 @@ def test_worker_gives_memory_back_before_the_next_operator(monkeypatch):
     _store.worker_cache("one")["x"] = 1
     assert _store.worker_cache("one") == {"x": 1} and not given
     assert _store.worker_cache("two") == {} and given == [{}]
+
+
+def test_anchors_of_a_buffer_are_hashed_by_blocks():
+    import tracemalloc
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcdefgh ", k=20_000)) for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    tracemalloc.start()
+    try:
+        out = list(sd._anchors(4, 400)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(b.num_rows for b in out) == 4
+    assert peak < 120 << 20, f"a worker holds {peak >> 20} MB for 4 MB of text"
