@@ -479,3 +479,18 @@ def test_anchors_of_a_buffer_are_hashed_by_blocks():
         tracemalloc.stop()
     assert sum(b.num_rows for b in out) == 4
     assert peak < 120 << 20, f"a worker holds {peak >> 20} MB for 4 MB of text"
+
+
+def test_batches_on_their_way_to_a_worker_are_bounded_by_bytes(spark):
+    from deltaview.llm._store import BATCH_BYTES
+
+    scratch = Scratch(spark, "batches")
+    texts = scratch.save(spark.range(0, 6000, 1, 1).selectExpr("id", "repeat(cast(id as string), 2000) text"), "texts")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["rows", "size"])
+
+    got = texts.mapInArrow(sizes, "rows long, size long").collect()
+    assert sum(r["rows"] for r in got) == 6000
+    assert max(r["size"] for r in got) < 2 * BATCH_BYTES, "a worker gets its task's rows at once"
